@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, wavelet
+from . import bpe, decontaminate, simhash, wavelet
 from .shared import shared_folder
 
 TOKENIZER = "byte_bpe_50k.json"
@@ -35,8 +35,26 @@ def op4_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return wavelet.read(shards, folder).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
 
 
+def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = decontaminate.scan(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return found.select(
+        F.col("doc.doc_id").alias("doc_id"),
+        "n_words",
+        F.size("hits").cast("long").alias("n_hit"),
+        F.size("items").cast("long").alias("n_items"),
+        F.sha2(F.array_join("items", ",").cast("binary"), 256).alias("items_sha256"),
+        (F.size("items") >= 2).alias("contaminated"),
+        "spans",
+    )
+
+
+def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    linked = simhash.link(table(spark, sf_dir, "documents"))
+    return linked.select("doc_id", simhash.hexadecimal().alias("fingerprint"), "component_id")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_bpe, op4_token_ids)}
+    return {f.__name__: f for f in (op1_bpe, op4_token_ids, op7_decontaminate, op9_simhash)}
 
 
 def oracle_sql() -> dict[str, str]:
