@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .shared import prepare, slices
+from .shared import cut_spans, prepare, slices
 
 #: Bytes of item texts in one automaton, about.
 PART_BYTES = 2 << 20
@@ -260,10 +260,5 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, coverage: float = 0.8,
     found = scan(docs, benchmark, window, text_column, **options)
     hit = F.size("hits")
     kept = found.filter((F.col("n_words") == 0) | (hit < F.col("n_words") * coverage))
-    # The stretches between spans, cut by bytes; spans begin and end at characters.
-    raw = F.col("text").cast("binary")
-    before = F.concat(F.array(F.lit(0)), F.col("spans.stop"))
-    until = F.concat(F.col("spans.start"), F.array(F.octet_length("text")))
-    pieces = F.transform(F.arrays_zip(before.alias("a"), until.alias("b")), lambda x: F.substring(raw, x["a"] + 1, x["b"] - x["a"]).cast("string"))
-    cleaned = F.when(hit > 0, F.array_join(pieces, "")).otherwise(F.col("text"))
+    cleaned = F.when(hit > 0, cut_spans(F.col("text"), F.col("spans"))).otherwise(F.col("text"))
     return kept.select(*(cleaned.alias(c) if c == text_column else F.col("doc")[c].alias(c) for c in names))

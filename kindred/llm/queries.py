@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, simhash, wavelet
+from . import bpe, decontaminate, repeats, simhash, wavelet
 from .shared import shared_folder
 
 TOKENIZER = "byte_bpe_50k.json"
@@ -35,6 +35,11 @@ def op4_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return wavelet.read(shards, folder).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
 
 
+def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cleaned = repeats.remove(table(spark, sf_dir, "documents"))
+    return cleaned.select("doc_id", "text", F.size("removed").alias("n_removed"), "removed")
+
+
 def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontaminate.scan(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     return found.select(
@@ -54,7 +59,7 @@ def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_bpe, op4_token_ids, op7_decontaminate, op9_simhash)}
+    return {f.__name__: f for f in (op1_bpe, op4_token_ids, op6_substring_dedup, op7_decontaminate, op9_simhash)}
 
 
 def oracle_sql() -> dict[str, str]:

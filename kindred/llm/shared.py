@@ -91,3 +91,12 @@ def bounded(rows: DataFrame, key: str, bound: int, count: int | None = None) ->
     if n <= bound:
         return rows
     return rows.filter(F.pmod(F.xxhash64(F.col(key)), F.lit(1 << 20)) < int(bound / n * (1 << 20)))
+
+
+def cut_spans(text: Column, spans: Column) -> Column:
+    """text without spans: sorted array<struct<start,stop>> of byte offsets that begin and end at characters."""
+    raw = text.cast("binary")
+    before = F.concat(F.array(F.lit(0)), spans["stop"])
+    until = F.concat(spans["start"], F.array(F.octet_length(text)))
+    kept = F.transform(F.arrays_zip(before.alias("a"), until.alias("b")), lambda x: F.substring(raw, x["a"] + 1, F.greatest(F.lit(0), x["b"] - x["a"])).cast("string"))
+    return F.array_join(kept, "")
