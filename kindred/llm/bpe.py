@@ -18,6 +18,7 @@ from collections.abc import Iterable, Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -29,15 +30,18 @@ from .shared import filesystem, keep, local_uri, prepare, shared_folder, slices
 BLOCK_BYTES = 12 << 20
 #: Buckets that a block's distinct pieces are dealt to: a piece always goes to the same one.
 MOST_BUCKETS = 2048
+#: Pieces that an encoder keeps: few, as each piece comes once.
+CACHE = 50_000
 
 
 def pack(values: pa.Array) -> bytes:
-    """A binary array as bytes: count, lengths, then the values."""
+    """A binary array as compressed bytes: lengths, then the values."""
     size = pc.binary_length(values).to_numpy(zero_copy_only=False).astype("<u4")
-    return np.array([len(values)], "<u4").tobytes() + size.tobytes() + b"".join(values.to_pylist())
+    return zstandard.compress(np.array([len(values)], "<u4").tobytes() + size.tobytes() + b"".join(values.to_pylist()), 3)
 
 
-def unpack(raw: bytes) -> pa.Array:
+def unpack(packed: bytes) -> pa.Array:
+    raw = zstandard.decompress(packed)
     n = int(np.frombuffer(raw, "<u4", 1)[0])
     size = np.frombuffer(raw, "<u4", n, 4)
     offsets = np.zeros(n + 1, np.int32)
@@ -47,30 +51,32 @@ def unpack(raw: bytes) -> pa.Array:
 
 def _split(folder: str, tokenizer: str, buckets: int):
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        special = cut.encoder(tokenizer).special
+        special = cut.encoder(tokenizer, CACHE).special
         fs, root = filesystem(local_uri(folder))
         fs.create_dir(root, recursive=True)
         for batch in batches:
             for part in slices(batch, "text", BLOCK_BYTES):
                 found, first = cut.split(part.column("text"), special)
                 name = f"{uuid.uuid4().hex}.arrow"
-                codes = pa.ListArray.from_arrays(pa.array(first, pa.int32()), found.indices)
+                distinct = found.dictionary
+                hashes = np.fromiter(map(zlib.crc32, distinct.to_pylist()), np.int64, len(distinct)) % buckets
+                # Codes follow the buckets, and the pieces' order within one: so a bucket's pieces need no places, and
+                # neighbours begin alike, which the compression likes.
+                sorted_ = pc.array_sort_indices(distinct).to_numpy()
+                order = sorted_[np.argsort(hashes[sorted_], kind="stable")]
+                rank = np.empty(len(order), np.int32)
+                rank[order] = np.arange(len(order), dtype=np.int32)
+                codes = pa.ListArray.from_arrays(pa.array(first, pa.int32()), pa.array(rank[found.indices.to_numpy()]))
                 table = pa.table({"id": part.column("id"), "codes": codes})
                 with fs.open_output_stream(f"{root}/{name}") as sink, pa.ipc.new_stream(sink, table.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as writer:
                     writer.write_table(table)
-                distinct = found.dictionary
-                hashes = np.fromiter(map(zlib.crc32, distinct.to_pylist()), np.int64, len(distinct)) % buckets
-                order = np.argsort(hashes, kind="stable")
                 used, start = np.unique(hashes[order], return_index=True)
-                parts = np.split(order, start[1:]) if len(used) else [order]
+                ordered = distinct.take(pa.array(order))
+                stop = np.append(start[1:], len(order)) if len(used) else []
+                packed = [pack(ordered.slice(a, b - a)) for a, b in zip(start, stop, strict=True)] or [pack(ordered)]
                 yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array([name] * len(parts)),
-                        pa.array(used if len(used) else [0], pa.int32()),
-                        pa.array([p.astype("<u4").tobytes() for p in parts], pa.binary()),
-                        pa.array([pack(distinct.take(pa.array(p))) for p in parts], pa.binary()),
-                    ],
-                    ["block", "bucket", "places", "pieces"],
+                    [pa.array([name] * len(packed)), pa.array(used if len(used) else [0], pa.int32()), pa.array(packed, pa.binary())],
+                    ["block", "bucket", "pieces"],
                 )
 
     return run
@@ -78,20 +84,19 @@ def _split(folder: str, tokenizer: str, buckets: int):
 
 def _encode(tokenizer: str):
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = cut.encoder(tokenizer)
+        encoder = cut.encoder(tokenizer, CACHE)
         for batch in batches:
             ids = [pack(pa.array(encoder.ids(unpack(raw.as_py()).to_pylist()), pa.binary())) for raw in batch.column("pieces")]
-            yield pa.RecordBatch.from_arrays([batch.column("block"), batch.column("places"), pa.array(ids, pa.binary())], ["block", "places", "ids"])
+            yield pa.RecordBatch.from_arrays([batch.column("block"), batch.column("bucket"), pa.array(ids, pa.binary())], ["block", "bucket", "ids"])
 
     return run
 
 
 def _assemble(folder: str):
-    def finish(fs, root: str, block: str, places: list[bytes], ids: list[bytes]) -> Iterator[pa.RecordBatch]:
+    def finish(fs, root: str, block: str, ids: list[bytes]) -> Iterator[pa.RecordBatch]:
         with fs.open_input_stream(f"{root}/{block}") as source:
             table = pa.ipc.open_stream(source).read_all().combine_chunks()
-        by_place = np.argsort(np.concatenate([np.frombuffer(p, "<u4") for p in places]))
-        known = pa.concat_arrays([unpack(x) for x in ids]).take(pa.array(by_place))
+        known = pa.concat_arrays([unpack(x) for x in ids])
         if not len(table):
             return
         codes = table.column("codes").combine_chunks()
@@ -108,17 +113,16 @@ def _assemble(folder: str):
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fs, root = filesystem(local_uri(folder))
-        block, places, ids = None, [], []
+        block, ids = None, []
         for batch in batches:
-            for b, p, x in zip(*(batch.column(k).to_pylist() for k in ("block", "places", "ids")), strict=True):
+            for b, x in zip(batch.column("block").to_pylist(), batch.column("ids").to_pylist(), strict=True):
                 if b != block:
                     if block is not None:
-                        yield from finish(fs, root, block, places, ids)
-                    block, places, ids = b, [], []
-                places.append(p)
+                        yield from finish(fs, root, block, ids)
+                    block, ids = b, []
                 ids.append(x)
         if block is not None:
-            yield from finish(fs, root, block, places, ids)
+            yield from finish(fs, root, block, ids)
 
     return run
 
@@ -130,16 +134,16 @@ def encode(docs: DataFrame, tokenizer: str, id_column: str = "doc_id", text_colu
     folder = f"{shared_folder(spark)}/codes"
     n = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
     rows = docs.select(F.col(id_column).alias("id"), F.col(text_column).alias("text"))
-    words = keep(rows.mapInArrow(_split(folder, tokenizer, min(n, MOST_BUCKETS)), "block string, bucket int, places binary, pieces binary"), "words")
-    encoded = words.repartition(n, "bucket").mapInArrow(_encode(tokenizer), "block string, places binary, ids binary")
+    words = keep(rows.mapInArrow(_split(folder, tokenizer, min(n, MOST_BUCKETS)), "block string, bucket int, pieces binary"), "words")
+    encoded = words.repartition(n, "bucket").mapInArrow(_encode(tokenizer), "block string, bucket int, ids binary")
     schema = T.StructType([T.StructField("id", rows.schema["id"].dataType), T.StructField("ids", T.ArrayType(T.IntegerType()))])
-    out = encoded.repartition(n, "block").sortWithinPartitions("block").mapInArrow(_assemble(folder), schema)
+    out = encoded.repartition(n, "block").sortWithinPartitions("block", "bucket").mapInArrow(_assemble(folder), schema)
     return out.select(F.col("id").alias(id_column), "ids")
 
 
 def vocabulary(tokenizer: str) -> list[bytes]:
     """Bytes of every id's piece; the table's size is the tokenizer's, whatever the corpus."""
-    encoder = cut.encoder(tokenizer)
+    encoder = cut.encoder(tokenizer, CACHE)
     back = {ord(c): b for b, c in cut._stands_for().items()}
     special = {i: name for name, i in encoder.special.items()}
     size = encoder.tokenizer.get_vocab_size(with_added_tokens=True)

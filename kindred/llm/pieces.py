@@ -167,7 +167,7 @@ def split(array: pa.Array, special: dict[bytes, int] | None = None) -> tuple[pa.
 class Encoder:
     """Ids of distinct pieces by the tokenizers library; keeps up to cache pieces' ids for later batches."""
 
-    def __init__(self, path: str, cache: int = 600_000):
+    def __init__(self, path: str, cache: int):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
@@ -202,11 +202,11 @@ class Encoder:
             known[p] = array("I", [t.id for t in tokenize(stood)]).tobytes()
 
 
-_encoders: dict[tuple, Encoder] = {}
+_encoders: dict[tuple[str, int], Encoder] = {}
 
 
-def encoder(path: str) -> Encoder:
+def encoder(path: str, cache: int = 600_000) -> Encoder:
     """This worker's encoder: made once, used by all its tasks."""
-    if path not in _encoders:
-        _encoders[path] = Encoder(path)
-    return _encoders[path]
+    if (path, cache) not in _encoders:
+        _encoders[path, cache] = Encoder(path, cache)
+    return _encoders[path, cache]
