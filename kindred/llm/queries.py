@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, repeats, simhash, wavelet
-from .shared import shared_folder
+from . import bpe, decontaminate, fingerprints, language, quality, repeats, simhash, toxicity, wavelet
+from .shared import held_out, labelled_sample, shared_folder
 
 TOKENIZER = "byte_bpe_50k.json"
 END = 2
@@ -29,6 +29,18 @@ def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(bpe.decode(bpe.encode(table(spark, sf_dir, "documents"), path), path))
 
 
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    seen = labels.filter(~held_out(F.col("doc_id")))
+    model = toxicity.fit(labelled_sample(docs, seen, "toxic", toxicity.SAMPLE))
+    scored = toxicity.score(docs, model, ["doc_id"])
+    return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), "worst_clause", "all_clauses")
+
+
+def op3_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints.with_next(table(spark, sf_dir, "documents"))
+
+
 def op4_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = f"{shared_folder(spark)}/tokens"
     shards = wavelet.write(table(spark, sf_dir, "documents"), folder, tokenizer_path(), END)
@@ -53,13 +65,28 @@ def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op8_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    names, prototypes = language.learn(docs.filter(~held_out(F.col("doc_id"))))
+    found = language.predict(docs, names, prototypes, carry=["doc_id"])
+    return found.select("doc.doc_id", held_out(F.col("doc.doc_id")).alias("held_out"), "lang_pred", "score")
+
+
 def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     linked = simhash.link(table(spark, sf_dir, "documents"))
     return linked.select("doc_id", simhash.hexadecimal().alias("fingerprint"), "component_id")
 
 
+def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    seen = labels.filter(~held_out(F.col("doc_id")))
+    model = quality.fit(labelled_sample(docs, seen, "quality", quality.FIT_ROWS))
+    scored = quality.score(docs, model, ["doc_id"])
+    return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_bpe, op4_token_ids, op6_substring_dedup, op7_decontaminate, op9_simhash)}
+    return {f.__name__: f for f in (op1_bpe, op2_toxicity, op3_fingerprints, op4_token_ids, op6_substring_dedup, op7_decontaminate, op8_language, op9_simhash, op10_quality)}
 
 
 def oracle_sql() -> dict[str, str]:

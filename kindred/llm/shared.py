@@ -100,3 +100,14 @@ def cut_spans(text: Column, spans: Column) -> Column:
     until = F.concat(spans["start"], F.array(F.octet_length(text)))
     kept = F.transform(F.arrays_zip(before.alias("a"), until.alias("b")), lambda x: F.substring(raw, x["a"] + 1, F.greatest(F.lit(0), x["b"] - x["a"])).cast("string"))
     return F.array_join(kept, "")
+
+
+def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, rows: int, key: str = "doc_id", text_column: str = "text") -> DataFrame:
+    """(id, label, text) of about rows labelled documents at most, kept.
+
+    The ids are chosen first, so that what is sent to all executors has a size that rows bounds.
+    """
+    usable = labels.filter(F.col(label).isNotNull() & F.col(key).isNotNull()).groupBy(key).agg(F.min(label).cast("int").alias("label"))
+    chosen = bounded(usable, key, rows).withColumnRenamed(key, "id")
+    rows_ = docs.select(F.col(key).alias("id"), F.col(text_column).alias("text")).filter("text is not null")
+    return keep(rows_.join(F.broadcast(chosen), "id").select("id", "label", "text"), "sample")
