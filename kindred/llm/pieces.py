@@ -205,7 +205,7 @@ class Encoder:
 _encoders: dict[tuple[str, int], Encoder] = {}
 
 
-def encoder(path: str, cache: int = 600_000) -> Encoder:
+def encoder(path: str, cache: int = 1_200_000) -> Encoder:
     """This worker's encoder: made once, used by all its tasks."""
     if (path, cache) not in _encoders:
         _encoders[path, cache] = Encoder(path, cache)
