@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, fingerprints, language, quality, repeats, simhash, toxicity, wavelet
+from . import bpe, decontaminate, fingerprints, language, quality, repeats, simhash, toxicity, urls, wavelet
 from .shared import held_out, labelled_sample, shared_folder
 
 TOKENIZER = "byte_bpe_50k.json"
@@ -47,6 +47,10 @@ def op4_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return wavelet.read(shards, folder).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
 
 
+def op5_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urls.judge(table(spark, sf_dir, "pages"))
+
+
 def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     cleaned = repeats.remove(table(spark, sf_dir, "documents"))
     return cleaned.select("doc_id", "text", F.size("removed").alias("n_removed"), "removed")
@@ -86,7 +90,7 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_bpe, op2_toxicity, op3_fingerprints, op4_token_ids, op6_substring_dedup, op7_decontaminate, op8_language, op9_simhash, op10_quality)}
+    return {f.__name__: f for f in (op1_bpe, op2_toxicity, op3_fingerprints, op4_token_ids, op5_url_filter, op6_substring_dedup, op7_decontaminate, op8_language, op9_simhash, op10_quality)}
 
 
 def oracle_sql() -> dict[str, str]:
