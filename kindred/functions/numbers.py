@@ -23,7 +23,8 @@ def recency(*values: Column) -> Column:
 def haversine_km(lat1: Column, lon1: Column, lat2: Column, lon2: Column) -> Column:
     p, q = F.radians(lat1), F.radians(lat2)
     h = F.pow(F.sin((q - p) / 2), 2) + F.cos(p) * F.cos(q) * F.pow(F.sin(F.radians(lon2 - lon1) / 2), 2)
-    return 2 * 6371.0 * F.asin(F.sqrt(F.least(F.lit(1.0), h)))
+    # least() would make 1 of a null.
+    return 2 * 6371.0 * F.asin(F.sqrt(F.when(h > 1, 1.0).otherwise(h)))
 
 
 def dot(a: Column, b: Column) -> Column:

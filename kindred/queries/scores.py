@@ -160,7 +160,7 @@ _LAT, _LON = "CASE WHEN p_partkey % 11 = 0 THEN NULL ELSE 40 + (p_partkey % 97)
 
 
 @query(f"""WITH {PART_PAIRS}, g AS (SELECT p_partkey, {_LAT} AS la, {_LON} AS lo FROM part),
-d AS (SELECT doc1_key, doc2_key, round(2 * 6371.0 * asin(sqrt(least(1.0, pow(sin((radians(b.la) - radians(a.la)) / 2), 2) + cos(radians(a.la)) * cos(radians(b.la)) * pow(sin(radians(b.lo - a.lo) / 2), 2)))), 2) AS geo_distance_km
+d AS (SELECT doc1_key, doc2_key, round(2 * 6371.0 * asin(sqrt((pow(sin((radians(b.la) - radians(a.la)) / 2), 2) + cos(radians(a.la)) * cos(radians(b.la)) * pow(sin(radians(b.lo - a.lo) / 2), 2)))), 2) AS geo_distance_km
   FROM pairs JOIN g a ON a.p_partkey = doc1_key JOIN g b ON b.p_partkey = doc2_key)
 SELECT * FROM d WHERE coalesce(geo_distance_km <= 50, true)""")
 def haversine_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
