@@ -27,7 +27,7 @@ from . import pieces as cut
 from .shared import filesystem, keep, local_uri, prepare, shared_folder, slices
 
 #: Bytes of text in a block.
-BLOCK_BYTES = 12 << 20
+BLOCK_BYTES = 8 << 20
 #: Buckets that a block's distinct pieces are dealt to: a piece always goes to the same one.
 MOST_BUCKETS = 2048
 #: Pieces that an encoder keeps: few, as each piece comes once.
@@ -49,9 +49,8 @@ def unpack(packed: bytes) -> pa.Array:
     return pa.Array.from_buffers(pa.binary(), n, [None, pa.py_buffer(offsets), pa.py_buffer(raw).slice(4 + 4 * n)])
 
 
-def _split(folder: str, tokenizer: str, buckets: int):
+def _split(folder: str, special: dict[bytes, int], buckets: int):
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        special = cut.encoder(tokenizer, CACHE).special
         fs, root = filesystem(local_uri(folder))
         fs.create_dir(root, recursive=True)
         for batch in batches:
@@ -134,7 +133,7 @@ def encode(docs: DataFrame, tokenizer: str, id_column: str = "doc_id", text_colu
     folder = f"{shared_folder(spark)}/codes"
     n = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
     rows = docs.select(F.col(id_column).alias("id"), F.col(text_column).alias("text"))
-    words = keep(rows.mapInArrow(_split(folder, tokenizer, min(n, MOST_BUCKETS)), "block string, bucket int, pieces binary"), "words")
+    words = keep(rows.mapInArrow(_split(folder, cut.encoder(tokenizer, CACHE).special, min(n, MOST_BUCKETS)), "block string, bucket int, pieces binary"), "words")
     encoded = words.repartition(n, "bucket").mapInArrow(_encode(tokenizer), "block string, bucket int, ids binary")
     schema = T.StructType([T.StructField("id", rows.schema["id"].dataType), T.StructField("ids", T.ArrayType(T.IntegerType()))])
     out = encoded.repartition(n, "block").sortWithinPartitions("block", "bucket").mapInArrow(_assemble(folder), schema)
@@ -150,14 +149,9 @@ def vocabulary(tokenizer: str) -> list[bytes]:
     return [special[i] if i in special else bytes(back[ord(c)] for c in encoder.tokenizer.id_to_token(i)) for i in range(size)]
 
 
-_vocabularies: dict[str, pa.Array] = {}
-
-
-def _decode(tokenizer: str):
+def _decode(pieces):
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if tokenizer not in _vocabularies:
-            _vocabularies[tokenizer] = pa.array(vocabulary(tokenizer), pa.binary())
-        table = _vocabularies[tokenizer]
+        table = unpack(pieces.value)
         for batch in batches:
             for i in range(0, batch.num_rows, 256):
                 part = batch.slice(i, 256)
@@ -177,7 +171,8 @@ def decode(encoded: DataFrame, tokenizer: str, id_column: str = "doc_id", ids_co
     prepare(encoded.sparkSession)
     rows = encoded.select(F.col(id_column).alias("id"), F.col(ids_column).alias("ids"))
     schema = T.StructType([*rows.schema.fields, T.StructField("decoded", T.StringType())])
-    return rows.mapInArrow(_decode(tokenizer), schema).select(F.col("id").alias(id_column), "ids", "decoded")
+    pieces = encoded.sparkSession.sparkContext.broadcast(pack(pa.array(vocabulary(tokenizer), pa.binary())))
+    return rows.mapInArrow(_decode(pieces), schema).select(F.col("id").alias(id_column), "ids", "decoded")
 
 
 def digests(decoded: DataFrame, id_column: str = "doc_id") -> DataFrame:

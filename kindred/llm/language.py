@@ -25,7 +25,7 @@ N = 3
 #: Labelled rows that prototypes are learnt from, at most.
 SAMPLE = 20_000
 #: n-grams whose vectors a worker keeps.
-_KEPT = 1 << 16
+_KEPT = 1 << 15
 UNKNOWN = "und"
 
 

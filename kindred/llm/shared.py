@@ -14,6 +14,8 @@ from pyspark.sql import functions as F
 
 #: Texts of at most this many bytes are worked on at a time, however many rows a batch of Spark's has.
 BATCH_BYTES = 6 << 20
+#: Bytes in an Arrow batch between Java and Python.
+ARROW_BYTES = 8 << 20
 
 
 def prepare(spark: SparkSession) -> None:
@@ -23,6 +25,8 @@ def prepare(spark: SparkSession) -> None:
     known = [p for p in env.get("PYTHONPATH", "").split(os.pathsep) if p]
     if root not in known:
         env["PYTHONPATH"] = os.pathsep.join([root, *known])
+    # A batch of ten thousand long texts would be held several times over, in Java and in Python.
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", f"{ARROW_BYTES}b")
 
 
 def shared_folder(spark: SparkSession) -> str:
