@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import pieces as cut
-from .shared import filesystem, keep, local_uri, prepare, shared_folder, slices
+from .shared import blocks, filesystem, keep, local_uri, prepare, shared_folder
 
 #: Bytes of text in a block.
 BLOCK_BYTES = 8 << 20
@@ -53,30 +53,29 @@ def _split(folder: str, special: dict[bytes, int], buckets: int):
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fs, root = filesystem(local_uri(folder))
         fs.create_dir(root, recursive=True)
-        for batch in batches:
-            for part in slices(batch, "text", BLOCK_BYTES):
-                found, first = cut.split(part.column("text"), special)
-                name = f"{uuid.uuid4().hex}.arrow"
-                distinct = found.dictionary
-                hashes = np.fromiter(map(zlib.crc32, distinct.to_pylist()), np.int64, len(distinct)) % buckets
-                # Codes follow the buckets, and the pieces' order within one: so a bucket's pieces need no places, and
-                # neighbours begin alike, which the compression likes.
-                sorted_ = pc.array_sort_indices(distinct).to_numpy()
-                order = sorted_[np.argsort(hashes[sorted_], kind="stable")]
-                rank = np.empty(len(order), np.int32)
-                rank[order] = np.arange(len(order), dtype=np.int32)
-                codes = pa.ListArray.from_arrays(pa.array(first, pa.int32()), pa.array(rank[found.indices.to_numpy()]))
-                table = pa.table({"id": part.column("id"), "codes": codes})
-                with fs.open_output_stream(f"{root}/{name}") as sink, pa.ipc.new_stream(sink, table.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as writer:
-                    writer.write_table(table)
-                used, start = np.unique(hashes[order], return_index=True)
-                ordered = distinct.take(pa.array(order))
-                stop = np.append(start[1:], len(order)) if len(used) else []
-                packed = [pack(ordered.slice(a, b - a)) for a, b in zip(start, stop, strict=True)] or [pack(ordered)]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([name] * len(packed)), pa.array(used if len(used) else [0], pa.int32()), pa.array(packed, pa.binary())],
-                    ["block", "bucket", "pieces"],
-                )
+        for part in blocks(batches, "text", BLOCK_BYTES):
+            found, first = cut.split(part.column("text"), special)
+            name = f"{uuid.uuid4().hex}.arrow"
+            distinct = found.dictionary
+            hashes = np.fromiter(map(zlib.crc32, distinct.to_pylist()), np.int64, len(distinct)) % buckets
+            # Codes follow the buckets, and the pieces' order within one: so a bucket's pieces need no places, and
+            # neighbours begin alike, which the compression likes.
+            sorted_ = pc.array_sort_indices(distinct).to_numpy()
+            order = sorted_[np.argsort(hashes[sorted_], kind="stable")]
+            rank = np.empty(len(order), np.int32)
+            rank[order] = np.arange(len(order), dtype=np.int32)
+            codes = pa.ListArray.from_arrays(pa.array(first, pa.int32()), pa.array(rank[found.indices.to_numpy()]))
+            table = pa.table({"id": part.column("id"), "codes": codes})
+            with fs.open_output_stream(f"{root}/{name}") as sink, pa.ipc.new_stream(sink, table.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as writer:
+                writer.write_table(table)
+            used, start = np.unique(hashes[order], return_index=True)
+            ordered = distinct.take(pa.array(order))
+            stop = np.append(start[1:], len(order)) if len(used) else []
+            packed = [pack(ordered.slice(a, b - a)) for a, b in zip(start, stop, strict=True)] or [pack(ordered)]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([name] * len(packed)), pa.array(used if len(used) else [0], pa.int32()), pa.array(packed, pa.binary())],
+                ["block", "bucket", "pieces"],
+            )
 
     return run
 
@@ -100,7 +99,7 @@ def _assemble(folder: str):
             return
         codes = table.column("codes").combine_chunks()
         first = codes.offsets.to_numpy()
-        step = max(1, len(table) // max(1, int(first[-1] - first[0]) // 1_000_000 + 1))
+        step = max(1, len(table) // max(1, int(first[-1] - first[0]) // 250_000 + 1))
         for i in range(0, len(table), step):
             j = min(i + step, len(table))
             some = known.take(codes.values.slice(first[i], first[j] - first[i]))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import os
 import uuid
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from pathlib import Path
 
 import pyarrow as pa
@@ -15,7 +15,9 @@ from pyspark.sql import functions as F
 #: Texts of at most this many bytes are worked on at a time, however many rows a batch of Spark's has.
 BATCH_BYTES = 6 << 20
 #: Bytes in an Arrow batch between Java and Python.
-ARROW_BYTES = 8 << 20
+ARROW_BYTES = 2 << 20
+#: The workers' C library gives large blocks back when they are freed, instead of keeping them for later.
+MEMORY = {"MALLOC_MMAP_THRESHOLD_": str(4 << 20), "MALLOC_TRIM_THRESHOLD_": str(16 << 20), "MALLOC_ARENA_MAX": "2", "ARROW_DEFAULT_MEMORY_POOL": "system"}
 
 
 def prepare(spark: SparkSession) -> None:
@@ -25,6 +27,7 @@ def prepare(spark: SparkSession) -> None:
     known = [p for p in env.get("PYTHONPATH", "").split(os.pathsep) if p]
     if root not in known:
         env["PYTHONPATH"] = os.pathsep.join([root, *known])
+    env.update(MEMORY)
     # A batch of ten thousand long texts would be held several times over, in Java and in Python.
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", f"{ARROW_BYTES}b")
 
@@ -74,6 +77,22 @@ def slices(batch: pa.RecordBatch, column: str, limit: int = BATCH_BYTES) -> Iter
         yield batch.slice(start)
 
 
+def blocks(batches: Iterable[pa.RecordBatch], column: str, limit: int) -> Iterator[pa.RecordBatch]:
+    """Batches joined and cut again so that most have nearly limit bytes of text."""
+    held: list[pa.RecordBatch] = []
+    total = 0
+    for batch in batches:
+        for part in slices(batch, column, limit):
+            size = pc.sum(pc.binary_length(part.column(column))).as_py() or 0
+            if held and total + size > limit:
+                yield from pa.Table.from_batches(held).combine_chunks().to_batches()
+                held, total = [], 0
+            held.append(part)
+            total += size
+    if held:
+        yield from pa.Table.from_batches(held).combine_chunks().to_batches()
+
+
 def texts(array: pa.Array) -> list[bytes]:
     """UTF-8 of every text; null counts as empty."""
     return pc.fill_null(array.cast(pa.binary()), b"").to_pylist()

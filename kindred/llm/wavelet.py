@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import pieces as cut
-from .shared import filesystem, keep, local_uri, prepare, slices
+from .shared import BATCH_BYTES, blocks, filesystem, keep, local_uri, prepare
 
 SHARD_TOKENS = 1 << 20
 #: Bits in a block of a plane.
@@ -183,20 +183,19 @@ def _write(folder: str, tokenizer: str, end: int):
             ids.clear(), sizes.clear(), names.clear()
             return row
 
-        for batch in batches:
-            for part in slices(batch, "text"):
-                found, first = cut.split(part.column("text"), encoder.special)
-                known = pa.array(encoder.ids(found.dictionary.to_pylist()), pa.binary())
-                joined = known.take(found.indices)
-                ends = np.frombuffer(joined.buffers()[1], np.int32)[joined.offset : joined.offset + len(joined) + 1]
-                raw = np.frombuffer(joined.buffers()[2] or b"", "<u4") if len(joined) else np.zeros(0, "<u4")
-                stops = (ends[first] - ends[0]) // 4
-                tokens = np.insert(raw[ends[0] // 4 : ends[-1] // 4], stops[1:], end)
-                ids.append(tokens)
-                sizes.append(np.diff(stops) + 1)
-                names.append(part.column("id"))
-                if sum(map(len, ids)) >= SHARD_TOKENS:
-                    yield flush()
+        for part in blocks(batches, "text", BATCH_BYTES):
+            found, first = cut.split(part.column("text"), encoder.special)
+            known = pa.array(encoder.ids(found.dictionary.to_pylist()), pa.binary())
+            joined = known.take(found.indices)
+            ends = np.frombuffer(joined.buffers()[1], np.int32)[joined.offset : joined.offset + len(joined) + 1]
+            raw = np.frombuffer(joined.buffers()[2] or b"", "<u4") if len(joined) else np.zeros(0, "<u4")
+            stops = (ends[first] - ends[0]) // 4
+            tokens = np.insert(raw[ends[0] // 4 : ends[-1] // 4], stops[1:], end)
+            ids.append(tokens)
+            sizes.append(np.diff(stops) + 1)
+            names.append(part.column("id"))
+            if sum(map(len, ids)) >= SHARD_TOKENS:
+                yield flush()
         if ids:
             yield flush()
 
