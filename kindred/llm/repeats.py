@@ -1,13 +1,16 @@
 """Substring deduplication by hashed lines, sentences and clauses.
 
-A line is cut where a sentence ends, or, in a long stretch without an end, after a word that its own hash picks; a unit
-has least_words words at least, so what is too short on its own goes with what follows it. A passage that sits in the
-middle of a line thus falls into the same units wherever it stands, but for its ends. Units are normalised (lower case,
-single blanks) and their 128-bit digests grouped over all documents. The occurrence of least rank (document id, then
-offset) stays; all others are cut out, and their offsets in the original text are kept.
-
-Defined cases: a null text stays null; words after a line's last full unit are too few and stay; rows that agree in
-both id and text count as one document and are treated alike; rows without an id rank first; empty tables stay empty.
+A unit is a sentence of least_words words at least within a line, or as many shorter ones in a row, between such
+sentences and the line's ends, as make up least_words words; what is left of a row goes with the unit before it, or else
+after it. Sentences of over long_words words are cut once more,
+after words that their own hash picks. So a passage in the middle of a line falls into the same units wherever it stands,
+but for its ends: each longer sentence sets the units right again. Units are normalised (lower case, single blanks) and
+their 128-bit digests grouped over all documents.
+The occurrence of least rank (document id, then offset) stays; all others are cut out, and their offsets in the original
+text are kept.
+
+Defined cases: a null text stays null; what is shorter than a unit stays; rows that agree in both id and text count as one
+document and are treated alike; rows without an id rank first; empty tables stay empty.
 """
 
 from __future__ import annotations
@@ -26,8 +29,8 @@ from pyspark.sql import types as T
 from .shared import cut_spans, keep, prepare, texts
 
 LEAST_WORDS = 8
-#: A stretch of this many words may be cut without a sentence's end.
-LONG_WORDS = 16
+#: A sentence of more words than this may be cut without an end.
+LONG_WORDS = 24
 
 _WORD = re.compile(rb"\S+")
 _ENDS = re.compile(rb"[.!?]")
@@ -37,21 +40,35 @@ def units(text: bytes, least: int = LEAST_WORDS, long: int = LONG_WORDS) -> Iter
     """Byte spans of a text's units, in order; white space after a unit belongs to it."""
     at = 0
     for line in text.split(b"\n"):
-        begin = count = 0
-        stop = len(line)
-        cut = None
-        for m in _WORD.finditer(line):
-            if cut is not None:
-                yield at + begin, at + m.start()
-                begin, count, cut = m.start(), 0, None
-            count += 1
-            if count >= least:
-                word = m.group()
-                if _ENDS.search(word) or (count >= long and zlib.crc32(word) & 7 == 0):
-                    cut = m.end()
-        if count >= least:
-            yield at + begin, at + stop
-        at += stop + 1
+        words = [(m.start(), m.group()) for m in _WORD.finditer(line)]
+        last = [k for k, (_, w) in enumerate(words) if _ENDS.search(w)]
+        if words and (not last or last[-1] != len(words) - 1):
+            last.append(len(words) - 1)
+        begin = sentence = 0
+        found: list[list[int]] = []  # first word and the one after the last
+        for k in last:
+            size = k - sentence + 1
+            if size >= least:
+                if begin < sentence and found:
+                    found[-1][1] = sentence
+                    begin = sentence
+                if size > long:
+                    since = sentence
+                    for j in range(sentence, k - least + 1):
+                        if j - since + 1 >= least and zlib.crc32(words[j][1]) & 3 == 0:
+                            found.append([begin, j + 1])
+                            begin = since = j + 1
+                found.append([begin, k + 1])
+                begin = k + 1
+            elif k - begin + 1 >= least:
+                found.append([begin, k + 1])
+                begin = k + 1
+            sentence = k + 1
+        if found and begin < len(words):
+            found[-1][1] = len(words)
+        for i, j in found:
+            yield at + words[i][0], at + (words[j][0] if j < len(words) else len(line))
+        at += len(line) + 1
 
 
 def digest(unit: bytes) -> bytes:
@@ -91,8 +108,8 @@ def repeated(docs: DataFrame, least_words: int = LEAST_WORDS, long_words: int =
     return later.groupBy("id", "mark").agg(F.array_sort(F.collect_set(F.struct("start", "stop"))).alias("spans"))
 
 
-def remove(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", **options) -> DataFrame:
-    """docs with repeated units cut out of their texts, and removed array<struct<start,stop>>."""
+def remove(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", spans_column: str | None = "removed", **options) -> DataFrame:
+    """docs with repeated units cut out of their texts; spans_column, unless None, is one more: array<struct<start,stop>>."""
     gone = repeated(docs, id_column=id_column, text_column=text_column, **options)
     names = docs.columns
     left = docs.select(F.struct(*(docs[c] for c in names)).alias("doc"), F.col(id_column).alias("id"), F.xxhash64(text_column).alias("mark"))
@@ -100,4 +117,4 @@ def remove(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text"
     spans = F.coalesce("spans", F.expr("cast(array() as array<struct<start:int,stop:int>>)"))
     text = F.col("doc")[text_column]
     cleaned = F.when(F.size(spans) > 0, cut_spans(text, spans)).otherwise(text)
-    return joined.select(*(cleaned.alias(c) if c == text_column else F.col("doc")[c].alias(c) for c in names), spans.alias("removed"))
+    return joined.select(*(cleaned.alias(c) if c == text_column else F.col("doc")[c].alias(c) for c in names), *([spans.alias(spans_column)] if spans_column else []))
