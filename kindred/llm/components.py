@@ -1,39 +1,17 @@
-"""Connected components of a table of links, by alternating large and small stars; every round is a kept table."""
+"""Connected components of a table of links, always by rounds of joins, however few the links are."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import keep
+from ..operators import components as graph
 
 
-def _state(edges: DataFrame) -> tuple:
-    return tuple(edges.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v"))).first())
+def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
+    """(node, root): root is the least node that can be reached; nodes without a link to a lesser one are absent.
 
-
-def components(links: DataFrame, a: str = "a", b: str = "b", rounds: int = 100) -> DataFrame:
-    """(node, root): root is the least node that can be reached; nodes without a link to another node are absent.
-
-    A node's least neighbour comes from an aggregation with partial sums on the map side, joined back on the node, so a
-    hub's links are never gathered in one place. Links with a null end are ignored; repeated ones count once.
+    Links with a null end are ignored; repeated ones count once.
     """
-    low, high = F.least(a, b), F.greatest(a, b)
-    rows = links.filter(F.col(a).isNotNull() & F.col(b).isNotNull() & (F.col(a) != F.col(b)))
-    edges = keep(rows.select(high.alias("u"), low.alias("v")).distinct(), "links")
-    state = _state(edges)
-    for _ in range(rounds):
-        both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        # Large star: each greater neighbour of a node goes to the node's least neighbour.
-        pulled = both.filter("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        # Small star: each lesser neighbour, and the node itself, go to the least of them.
-        small = pulled.groupBy("u").agg(F.min("v").alias("m"))
-        joined = pulled.join(small, "u")
-        nearer = joined.select("u", F.col("m").alias("v")).union(joined.filter("v != m").select(F.col("v").alias("u"), F.col("m").alias("v")))
-        edges = keep(nearer.distinct(), "stars")
-        now = _state(edges)
-        if now == state:
-            return edges.select(F.col("u").alias("node"), F.col("v").alias("root"))
-        state = now
-    raise RuntimeError(f"no fixed point after {rounds} rounds")
+    rows = links.select(F.col(a).alias("src"), F.col(b).alias("dst"))
+    return graph.components(rows, local_links=0).filter("node != root")

@@ -3,15 +3,18 @@
 from __future__ import annotations
 
 import os
-import uuid
 from collections.abc import Iterable, Iterator
-from pathlib import Path
 
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.tables import keep, shared_folder
+from ..workers import ship
+
+__all__ = ["blocks", "bounded", "cut_spans", "filesystem", "held_out", "keep", "labelled_sample", "local_uri", "prepare", "shared_folder", "slices", "texts"]
+
 #: Texts of at most this many bytes are worked on at a time, however many rows a batch of Spark's has.
 BATCH_BYTES = 6 << 20
 #: Bytes in an Arrow batch between Java and Python.
@@ -22,35 +25,12 @@ MEMORY = {"MALLOC_MMAP_THRESHOLD_": str(4 << 20), "MALLOC_TRIM_THRESHOLD_": str(
 
 def prepare(spark: SparkSession) -> None:
     """Let Python workers import this package where it lies on a disk they share (a cluster gets it by --py-files)."""
-    root = str(Path(__file__).resolve().parents[2])
-    env = spark.sparkContext.environment
-    known = [p for p in env.get("PYTHONPATH", "").split(os.pathsep) if p]
-    if root not in known:
-        env["PYTHONPATH"] = os.pathsep.join([root, *known])
-    env.update(MEMORY)
+    ship(spark)
+    spark.sparkContext.environment.update(MEMORY)
     # A batch of ten thousand long texts would be held several times over, in Java and in Python.
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", f"{ARROW_BYTES}b")
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """A new folder below spark.checkpoint.dir, which every executor sees.
-
-    Only where that setting is absent (tests on one machine) a folder below the warehouse takes its place.
-    """
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        base = spark.conf.get("spark.sql.warehouse.dir", "spark-warehouse").rstrip("/") + "/checkpoints"
-    return f"{base.rstrip('/')}/{uuid.uuid4().hex}"
-
-
-def keep(df: DataFrame, name: str = "table") -> DataFrame:
-    """Write df to the shared folder and read it back: the lineage is cut and lost executors cost nothing."""
-    spark = df.sparkSession
-    path = f"{shared_folder(spark)}/{name}"
-    df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def filesystem(uri: str):
     """pyarrow's file system and path for a folder that may or may not carry a scheme."""
     from pyarrow import fs
