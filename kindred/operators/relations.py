@@ -43,19 +43,16 @@ def resolve_chains(mapping: DataFrame, most: int = 100) -> DataFrame:
     return met.select("entity", F.when(status == "ok", F.col("final")).alias("final"), F.when(status != "cycle", F.col("hops")).alias("hops"), status.alias("status"))
 
 
-def link_names(extracted: DataFrame, entities: DataFrame, threshold: float = 0.7, block: int = 2) -> DataFrame:
+def link_names(extracted: DataFrame, entities: DataFrame, threshold: float = 0.7, letters: int = 2) -> DataFrame:
     """(mention_id, entity_key, similarity): each name's best entity by Jaro-Winkler of lower-case names.
 
-    Names meet by their first letters or by a shared word, in place of comparing all with all; block 0 compares all, for
-    a few extracted names. Of equal scores the least key is taken.
+    Names meet by their first letters or by a shared word, in place of comparing all with all. Of equal scores the least
+    key is taken.
     """
     m = extracted.select("mention_id", F.lower(F.trim("name")).alias("name"))
     e = entities.select("entity_key", F.lower(F.trim("name")).alias("known"))
-    if block:
-        keys = lambda c: F.array_distinct(F.concat(F.array(F.concat(F.lit("^"), F.substring(c, 1, block))), F.split(c, r"\s+")))
-        met = m.withColumn("k", F.explode(keys(F.col("name")))).join(e.withColumn("k", F.explode(keys(F.col("known")))), "k").select("mention_id", "name", "entity_key", "known").distinct()
-    else:
-        met = e.join(F.broadcast(m.limit(1000)), F.lit(True))
+    keys = lambda c: F.array_distinct(F.concat(F.array(F.concat(F.lit("^"), F.substring(c, 1, letters))), F.split(c, r"\s+")))
+    met = m.withColumn("k", F.explode(keys(F.col("name")))).join(e.withColumn("k", F.explode(keys(F.col("known")))), "k").select("mention_id", "name", "entity_key", "known").distinct()
     scored = met.withColumn("similarity", F.round(jaro_winkler_similarity(F.col("name"), F.col("known"), fold=False), 4)).filter(F.col("similarity") >= threshold)
     return scored.groupBy("mention_id").agg(F.min_by(F.struct("entity_key", "similarity"), F.struct(-F.col("similarity"), F.col("entity_key"))).alias("x")).select("mention_id", "x.entity_key", "x.similarity")
 
