@@ -130,12 +130,11 @@ def fingerprint(points: np.ndarray) -> str:
     n = prefixes.n
     slots = np.full(SLOTS, _EMPTY, np.int64)
     if n:
-        h = np.unique(_mix(prefixes.spans(min(SPAN, n))))
-        slot, value = (h & np.uint64(SLOTS - 1)).astype(np.int64), h >> np.uint64(6)
-        # Ascending hashes: the first of a slot's is not its least value, so order by value within a slot.
-        order = np.lexsort((value, slot))
-        first = np.concatenate([[True], slot[order][1:] != slot[order][:-1]])
-        slots[slot[order][first]] = (_mix(value[order][first]) % np.uint64(_EMPTY)).astype(np.int64)
+        h = _mix(prefixes.spans(min(SPAN, n)))
+        least = np.full(SLOTS, ~np.uint64(0))
+        np.minimum.at(least, (h & np.uint64(SLOTS - 1)).astype(np.int64), h >> np.uint64(6))
+        used = least != ~np.uint64(0)
+        slots[used] = (_mix(least[used]) % np.uint64(_EMPTY)).astype(np.int64)
     return f"{n:x}-{prefixes.whole():016x}-" + "".join(f"{s:04x}" for s in slots.tolist())
 
 
