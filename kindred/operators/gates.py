@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text
+from .tables import keep
 
 
 @dataclass
@@ -51,11 +52,13 @@ def apply_gates(scored: DataFrame, gates: Gates, tokens: DataFrame | None = None
 
     tokens is (key, tokens), types (key, type). Margins are those among all pairs, before any gate.
     """
+    if gates.min_margin > 0:
+        scored = keep(scored, "scored")  # read once for the pairs and for each of the margins' steps
     out = scored
     if tokens is not None:
         out = out.join(tokens.select(F.col("key").alias("doc1_key"), F.col("tokens").alias("_t1")), "doc1_key", "left").join(tokens.select(F.col("key").alias("doc2_key"), F.col("tokens").alias("_t2")), "doc2_key", "left")
     if gates.min_margin > 0:
-        second = margins(scored)
+        second = keep(margins(scored), "margins")
         out = out.join(second.select(F.col("key").alias("doc1_key"), F.col("second").alias("_m1")), "doc1_key", "left").join(second.select(F.col("key").alias("doc2_key"), F.col("second").alias("_m2")), "doc2_key", "left")
     if types is not None:
         out = out.join(types.select(F.col("key").alias("doc2_key"), F.col("type").alias("_type")), "doc2_key", "left")

@@ -54,15 +54,16 @@ def join_documents(pairs: DataFrame, docs: DataFrame, columns: list[str], key: s
 
 def field_scores(pairs: DataFrame, docs: DataFrame, fields: list[Field], key: str = "_key") -> DataFrame:
     """pairs with one column s_<field> each: null where the field is left out, rounded to four places."""
-    met = join_documents(pairs, docs, list(dict.fromkeys(f.name for f in fields)), key)
+    # Values are normalised once a document, before a document meets its many pairs.
+    ready = docs.select(key, *(text.normalise(fetch(F.col(f.name)), f.transformers).alias(f"n{i}") for i, f in enumerate(fields)))
+    met = join_documents(pairs, ready, [f"n{i}" for i in range(len(fields))], key)
     columns = {}
-    for f in fields:
-        a = text.normalise(fetch(F.col(f"a_{f.name}")), f.transformers)
-        b = text.normalise(fetch(F.col(f"b_{f.name}")), f.transformers)
+    for i, f in enumerate(fields):
+        a, b = F.col(f"a_n{i}"), F.col(f"b_n{i}")
         s = F.round(compare(f.algorithm, a, b), 4)
         blank = (a == "") | (b == "")
         columns[f"s_{f.name}"] = s if f.null == "default" else F.when(blank, F.lit(0.0) if f.null == "zero" else None).otherwise(s)
-    return met.withColumns(columns).drop(*(f"{side}_{f.name}" for side in "ab" for f in fields))
+    return met.withColumns(columns).drop(*(f"{side}_n{i}" for side in "ab" for i in range(len(fields))))
 
 
 def weighted(fields: list[Field]) -> Column:

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import clusters, components, edges, relations
+from ..operators.tables import keep
 from ..plans import pipeline
 from .registry import query, table
 from .scores import PART_SCORED, part_scored
@@ -22,7 +23,8 @@ q AS (SELECT *, round(least(1.0, 0.4 * density + 0.6 * average_similarity), 4) A
 
 
 def part_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return edges.make_edges(part_scored(spark, sf_dir, 0.8), "levenshtein", STAMP)
+    """Kept: components, quality and checks all read them."""
+    return keep(edges.make_edges(part_scored(spark, sf_dir, 0.8), "levenshtein", STAMP), "edges")
 
 
 def part_members(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -159,9 +161,7 @@ def cluster_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def recluster_after_verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every third cluster's first edge is cut; only the clusters touched are found anew."""
-    from ..operators.tables import keep
-
-    e = keep(part_edges(spark, sf_dir), "edges")
+    e = part_edges(spark, sf_dir)
     old = keep(components.clusters(components.components(e)), "old")
     cut = clusters.intra_edges(old, e).groupBy("cluster_id").agg(F.min_by(F.struct("src", "dst"), F.struct("similarity", "src", "dst")).alias("x")).filter(F.pmod(F.xxhash64("cluster_id"), F.lit(3)) == 0)
     said = cut.select(F.col("x.src").alias("key1"), F.col("x.dst").alias("key2"), F.lit("no_match").alias("decision"), F.lit(STAMP).alias("created_at"))

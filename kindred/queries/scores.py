@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import names, numbers, text
 from ..operators import advisor, evaluation, gates, learning, scoring, vectors
+from ..operators.tables import keep
 from .pairs import PART_PAIRS, part_pairs
 from .registry import query, table
 
@@ -266,7 +267,7 @@ def _truth(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _labelled(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return evaluation.labelled(part_scored(spark, sf_dir, 0.4), _truth(spark, sf_dir))
+    return keep(evaluation.labelled(part_scored(spark, sf_dir, 0.4), _truth(spark, sf_dir)), "labelled")
 
 
 @query(f"""{_TRUTH}, c AS (SELECT count(*) FILTER (coalesce(score >= 0.8, false) AND is_match) AS tp, count(*) FILTER (coalesce(score >= 0.8, false) AND NOT is_match) AS fp, count(*) FILTER (NOT coalesce(score >= 0.8, false) AND is_match) AS fn,
