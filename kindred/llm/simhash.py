@@ -8,7 +8,7 @@ these links join the same components as all pairs would.
 
 Balls of a radius that copies of similarity 0.8 would need are far too many. near_duplicates() therefore adds tables
 of further SimHashes, each over the few shingles that come first under the table's own order: copies often agree in
-one of them outright. What meets there is verified by the bits in which the whole documents' fingerprints differ.
+one of them outright. What meets there is compared whole, however many meet; what is joined already is not compared again.
 
 Defined cases: a null or wordless text has fingerprint zero; a text of fewer words than a shingle is one shingle;
 repeated rows have equal fingerprints and share a component; rows without an id get their fingerprint's component.
@@ -16,13 +16,13 @@ repeated rows have equal fingerprints and share a component; rows without an id
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -33,6 +33,8 @@ LOWER = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
 BITS = 64
 #: Classes of a sketch. Its estimate of 0.8 has a standard deviation of 0.025; SLACK below the asked similarity passes.
 SLOTS, SLACK = 256, 0.025
+#: Larger buckets are split.
+BLOCK_ROWS = 10_000
 
 
 def shingle_hashes(text: bytes, words: int, seed: int = 42) -> np.ndarray:
@@ -145,20 +147,80 @@ def ball_links(distinct: DataFrame, radius: int) -> DataFrame:
     return pairs.filter(F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= radius)
 
 
-def sample_links(sketches: DataFrame, most_bits: int, near: int = 4) -> DataFrame:
-    """Links between fingerprints of at most most_bits differing bits that share a sampled SimHash.
+def spanning(n: int, near: Callable[[int, np.ndarray], np.ndarray]) -> Iterator[tuple[int, int]]:
+    """Links (i, j) that join 0..n-1 into the components of near(i, others), which tells which of others i links to.
 
-    Where many meet they lie in the order of their bits, turned by another count for each table; each is compared with
-    the near ones before it and with the first.
+    All that is not reached yet is compared with each that is, so no pair of different components goes uncompared.
     """
-    rows = sketches.select("fingerprint", F.posexplode("samples").alias("t", "sample"))
-    turned = F.expr("shiftleft(fingerprint, cast(t * 5 % 64 as int)) | shiftrightunsigned(fingerprint, cast(64 - t * 5 % 64 as int))")
-    rows = rows.withColumn("turned", turned)
-    w = Window.partitionBy("sample").orderBy("turned", "fingerprint")
-    others = [F.lag("fingerprint", k).over(w) for k in range(1, near + 1)] + [F.first("fingerprint").over(w)]
-    met = rows.select("fingerprint", F.array(*others).alias("others"))
-    pairs = met.select(F.col("fingerprint").alias("b"), F.explode("others").alias("a")).filter("a is not null and a != b")
-    return pairs.filter(F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= most_bits).select("a", "b").distinct()
+    rest, reached = np.arange(n), []
+    while len(rest):
+        if not reached:
+            reached, rest = [int(rest[0])], rest[1:]
+        i = reached.pop()
+        if len(rest):
+            hit = near(i, rest)
+            for j in rest[hit].tolist():
+                yield i, j
+                reached.append(j)
+            rest = rest[~hit]
+
+
+def near_sketches(sketches: list[bytes], least: float):
+    """near() of spanning() for texts whose sketches agree in the share least of their classes."""
+    table = np.frombuffer(b"".join(sketches), np.uint8).reshape(-1, SLOTS)
+
+    def near(i: int, others: np.ndarray) -> np.ndarray:
+        x, y = table[i], table[others]
+        empty = ((x | y) == 0).sum(1)
+        return (x == y).sum(1) - empty >= least * (SLOTS - empty)
+
+    return near
+
+
+def _spanning(key: list[str], node: str, value: str, maker: Callable):
+    """Links within each part of rows that are sorted by the columns key; maker(values) gives near()."""
+
+    def links(nodes: list[int], values: list) -> pa.RecordBatch:
+        found = [(nodes[i], nodes[j]) for i, j in spanning(len(nodes), maker(values))]
+        return pa.RecordBatch.from_arrays([pa.array([x[k] for x in found], pa.int64()) for k in (0, 1)], ["a", "b"])
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, nodes, values = None, [], []
+        for batch in batches:
+            parts = zip(*(batch.column(k).to_pylist() for k in key), strict=True)
+            for part, x, v in zip(parts, batch.column(node).to_pylist(), batch.column(value).to_pylist(), strict=True):
+                if part != now:
+                    if len(nodes) > 1:
+                        yield links(nodes, values)
+                    now, nodes, values = part, [], []
+                nodes.append(x)
+                values.append(v)
+        if len(nodes) > 1:
+            yield links(nodes, values)
+
+    return run
+
+
+def links_within(rows: DataFrame, group: str, node: str, value: str, maker: Callable, most: int, weight: Column | None = None) -> DataFrame:
+    """Links (a, b) between the nodes (long) of each group that join its components under maker(values).
+
+    A group of more weight than most is split into blocks by a hash, and each two blocks are one part: its size has no
+    cap, and no task holds more than two blocks.
+    """
+    sizes = rows.groupBy(group).agg(F.count("*").alias("n"), F.sum(F.lit(1) if weight is None else weight).alias("w"))
+    sizes = sizes.filter("n > 1").select(F.col(group).alias("of"), F.ceil(F.col("w") / most).cast("int").alias("blocks"))
+    own = F.pmod(F.xxhash64(node), "blocks").cast("int")
+    met = rows.join(sizes, F.col(group) == F.col("of")).select(group, node, value, "blocks", own.alias("own"))
+    others = F.when(F.col("blocks") == 1, F.array(F.lit(0))).otherwise(F.array_remove(F.sequence(F.lit(0), F.col("blocks") - 1), F.col("own")))
+    parts = met.withColumn("other", F.explode(others)).select(group, F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), node, value)
+    key = [group, "i", "j"]
+    return parts.repartition(*key).sortWithinPartitions(*key).mapInArrow(_spanning(key, node, value, maker), "a long, b long")
+
+
+def sample_links(sketches: DataFrame, least: float) -> DataFrame:
+    """Links between fingerprints that share a sampled SimHash and whose sketches agree in the share least."""
+    met = sketches.select("fingerprint", "sketch", F.explode("samples").alias("sample"))
+    return links_within(met, "sample", "fingerprint", "sketch", lambda x: near_sketches(x, least), BLOCK_ROWS)
 
 
 def _with_components(found: DataFrame, firsts: DataFrame, links: DataFrame, id_column: str) -> DataFrame:
@@ -176,18 +238,17 @@ def link(docs: DataFrame, words: int = 3, radius: int = 2, seed: int = 42, id_co
     return _with_components(found, firsts, ball_links(firsts, radius), id_column)
 
 
-def near_duplicates(docs: DataFrame, words: int = 5, similarity: float = 0.8, radius: int = 2, tables: int = 12, size: int = 4, most_bits: int = 20, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
+def near_duplicates(docs: DataFrame, words: int = 5, similarity: float = 0.8, radius: int = 2, tables: int = 12, size: int = 4, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """(id, fingerprint, component_id) where texts link if they have the share similarity of their shingles in common.
 
-    Candidates are those within radius bits, and those that share a sampled SimHash and differ in most_bits at most:
-    texts so alike differ in fewer. Each candidate's sketches are then compared.
+    Candidates are those within radius bits, and all that share a sampled SimHash. Each candidate's sketches are compared.
     """
     found = keep(fingerprints(docs, words, tables=tables, size=size, id_column=id_column, text_column=text_column), "sketches")
-    firsts = keep(found.groupBy("fingerprint").agg(F.min("id").alias("first"), F.min("sketch").alias("sketch")), "firsts")
-    candidates = ball_links(firsts, radius).union(sample_links(found.select("fingerprint", "samples").distinct(), most_bits)).distinct()
+    firsts = keep(found.groupBy("fingerprint").agg(F.min("id").alias("first"), F.min("sketch").alias("sketch"), F.min("samples").alias("samples")), "firsts")
     x = firsts.select(F.col("fingerprint").alias("a"), F.col("sketch").alias("x"))
     y = firsts.select(F.col("fingerprint").alias("b"), F.col("sketch").alias("y"))
-    links = candidates.join(x, "a").join(y, "b").select("a", "b", "x", "y").mapInArrow(_agree(similarity - SLACK), "a long, b long")
+    balls = ball_links(firsts, radius).join(x, "a").join(y, "b").select("a", "b", "x", "y").mapInArrow(_agree(similarity - SLACK), "a long, b long")
+    links = balls.union(sample_links(firsts, similarity - SLACK)).distinct()
     return _with_components(found.select("id", "fingerprint"), firsts.select("fingerprint", "first"), links, id_column)
 
 
