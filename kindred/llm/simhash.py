@@ -8,7 +8,8 @@ these links join the same components as all pairs would.
 
 Balls of a radius that copies of similarity 0.8 would need are far too many. near_duplicates() therefore adds tables
 of further SimHashes, each over the few shingles that come first under the table's own order: copies often agree in
-one of them outright. What meets there is compared whole, however many meet; what is joined already is not compared again.
+one of them outright. What meets there is compared whole, however many meet, by sketches with a wide margin; the groups
+that come of it are decided by the exact share of distinct shingles in common. What is joined already is not compared again.
 
 Defined cases: a null or wordless text has fingerprint zero; a text of fewer words than a shingle is one shingle;
 repeated rows have equal fingerprints and share a component; rows without an id get their fingerprint's component.
@@ -31,10 +32,10 @@ from .shared import keep, prepare, texts
 
 LOWER = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
 BITS = 64
-#: Classes of a sketch. Its estimate of 0.8 has a standard deviation of 0.025; SLACK below the asked similarity passes.
-SLOTS, SLACK = 256, 0.025
-#: Larger buckets are split.
-BLOCK_ROWS = 10_000
+#: Classes of a sketch. Its estimate of 0.8 has a standard deviation of 0.025; what is MARGIN below is looked at exactly.
+SLOTS, MARGIN = 256, 0.15
+#: Buckets of more texts, and groups of more shingles, are split.
+BLOCK_ROWS, BLOCK_SHINGLES = 10_000, 2_000_000
 
 
 def shingle_hashes(text: bytes, words: int, seed: int = 42) -> np.ndarray:
@@ -85,22 +86,6 @@ def sketch(hashes: np.ndarray) -> bytes:
     return np.where(least == ~np.uint64(0), 0, 1 + mixed % np.uint64(255)).astype(np.uint8).tobytes()
 
 
-def agreement(a: bytes, b: bytes) -> float:
-    """Estimated share of shingles in common; 1 for two texts without any."""
-    x, y = np.frombuffer(a, np.uint8), np.frombuffer(b, np.uint8)
-    used = (x != 0) | (y != 0)
-    return float((x == y)[used].mean()) if used.any() else 1.0
-
-
-def _agree(least: float):
-    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            scores = [agreement(x, y) for x, y in zip(batch.column("x").to_pylist(), batch.column("y").to_pylist(), strict=True)]
-            yield batch.select(["a", "b"]).filter(pa.array(np.array(scores) >= least, pa.bool_()))
-
-    return run
-
-
 def _signed(values: list[int]) -> pa.Array:
     return pa.array(np.array(values, np.uint64).view(np.int64))
 
@@ -116,18 +101,21 @@ def _fingerprint(words: int, seed: int, tables: int, size: int):
                     flat = _signed([x for h in hashes for x in sampled(h, tables, size)])
                     columns.append(pa.ListArray.from_arrays(pa.array(range(0, len(flat) + 1, tables), pa.int32()), flat))
                     columns.append(pa.array([sketch(h) for h in hashes], pa.binary()))
-                yield pa.RecordBatch.from_arrays(columns, ["id", "fingerprint", "samples", "sketch"][: len(columns)])
+                    distinct = [np.unique(h) for h in hashes]
+                    columns.append(columns[1])
+                    columns.append(pa.array([h.tobytes() for h in distinct], pa.binary()))
+                yield pa.RecordBatch.from_arrays(columns, ["id", "fingerprint", "samples", "sketch", "shape", "shingles"][: len(columns)])
 
     return run
 
 
 def fingerprints(docs: DataFrame, words: int = 3, seed: int = 42, tables: int = 0, size: int = 4, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
-    """(id, fingerprint long[, samples array<long>, sketch binary]) of every row."""
+    """(id, fingerprint long[, samples array<long>, sketch binary, shape long, shingles binary]) of every row."""
     prepare(docs.sparkSession)
     rows = docs.select(F.col(id_column).alias("id"), F.col(text_column).alias("text"))
     fields = [rows.schema["id"], T.StructField("fingerprint", T.LongType())]
     if tables:
-        fields += [T.StructField("samples", T.ArrayType(T.LongType())), T.StructField("sketch", T.BinaryType())]
+        fields += [T.StructField("samples", T.ArrayType(T.LongType())), T.StructField("sketch", T.BinaryType()), T.StructField("shape", T.LongType()), T.StructField("shingles", T.BinaryType())]
     return rows.mapInArrow(_fingerprint(words, seed, tables, size), T.StructType([T.StructField("id", fields[0].dataType), *fields[1:]]))
 
 
@@ -177,8 +165,30 @@ def near_sketches(sketches: list[bytes], least: float):
     return near
 
 
-def _spanning(key: list[str], node: str, value: str, maker: Callable):
-    """Links within each part of rows that are sorted by the columns key; maker(values) gives near()."""
+def near_sets(sets: list[bytes], least: float):
+    """near() of spanning() for sets of hashes that have the share least of their union in common."""
+    sizes = np.array([len(x) // 8 for x in sets])
+    stops = np.cumsum(sizes)
+    known, codes = np.unique(np.frombuffer(b"".join(sets), np.uint64), return_inverse=True)
+    marked = np.zeros(len(known), np.uint8)
+    held: list = [len(sets) + 1, None, None]  # the codes of the others of last time, who only become fewer
+
+    def near(i: int, others: np.ndarray) -> np.ndarray:
+        if held[0] != len(others):
+            held[:] = len(others), np.concatenate([codes[stops[k] - sizes[k] : stops[k]] for k in others.tolist()]), np.cumsum(sizes[others])
+        own = codes[stops[i] - sizes[i] : stops[i]]
+        marked[own] = 1
+        total = np.concatenate([[0], np.cumsum(marked[held[1]], dtype=np.int64)])
+        marked[own] = 0
+        common = total[held[2]] - total[held[2] - sizes[others]]
+        union = sizes[i] + sizes[others] - common
+        return np.where(union > 0, common / np.maximum(union, 1), 1.0) >= least
+
+    return near
+
+
+def _spanning(maker: Callable):
+    """Links within each part of rows (group, i, j, node, value) that are sorted; maker(values) gives near()."""
 
     def links(nodes: list[int], values: list) -> pa.RecordBatch:
         found = [(nodes[i], nodes[j]) for i, j in spanning(len(nodes), maker(values))]
@@ -187,8 +197,8 @@ def _spanning(key: list[str], node: str, value: str, maker: Callable):
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, nodes, values = None, [], []
         for batch in batches:
-            parts = zip(*(batch.column(k).to_pylist() for k in key), strict=True)
-            for part, x, v in zip(parts, batch.column(node).to_pylist(), batch.column(value).to_pylist(), strict=True):
+            parts = zip(*(batch.column(k).to_pylist() for k in ("group", "i", "j")), strict=True)
+            for part, x, v in zip(parts, batch.column("node").to_pylist(), batch.column("value").to_pylist(), strict=True):
                 if part != now:
                     if len(nodes) > 1:
                         yield links(nodes, values)
@@ -201,34 +211,42 @@ def _spanning(key: list[str], node: str, value: str, maker: Callable):
     return run
 
 
-def links_within(rows: DataFrame, group: str, node: str, value: str, maker: Callable, most: int, weight: Column | None = None) -> DataFrame:
-    """Links (a, b) between the nodes (long) of each group that join its components under maker(values).
+def links_within(rows: DataFrame, values: DataFrame, maker: Callable, most: int) -> DataFrame:
+    """Links (a, b) between the nodes of each group that join its components under maker(their values).
 
-    A group of more weight than most is split into blocks by a hash, and each two blocks are one part: its size has no
-    cap, and no task holds more than two blocks.
+    rows: (group long, node long, weight); values: (node, value). A group of more weight than most is split into blocks
+    by a hash, and each two blocks are one part: its size has no cap, and a task holds the texts of two blocks.
     """
-    sizes = rows.groupBy(group).agg(F.count("*").alias("n"), F.sum(F.lit(1) if weight is None else weight).alias("w"))
-    sizes = sizes.filter("n > 1").select(F.col(group).alias("of"), F.ceil(F.col("w") / most).cast("int").alias("blocks"))
-    own = F.pmod(F.xxhash64(node), "blocks").cast("int")
-    met = rows.join(sizes, F.col(group) == F.col("of")).select(group, node, value, "blocks", own.alias("own"))
+    sizes = rows.groupBy("group").agg(F.count("*").alias("n"), F.sum("weight").alias("w")).filter("n > 1")
+    sizes = sizes.select("group", F.greatest(F.lit(1), F.ceil(F.col("w") / most)).cast("int").alias("blocks"))
+    met = rows.join(sizes, "group").withColumn("own", F.pmod(F.xxhash64("node"), "blocks").cast("int"))
     others = F.when(F.col("blocks") == 1, F.array(F.lit(0))).otherwise(F.array_remove(F.sequence(F.lit(0), F.col("blocks") - 1), F.col("own")))
-    parts = met.withColumn("other", F.explode(others)).select(group, F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), node, value)
-    key = [group, "i", "j"]
-    return parts.repartition(*key).sortWithinPartitions(*key).mapInArrow(_spanning(key, node, value, maker), "a long, b long")
+    parts = met.withColumn("other", F.explode(others)).select("group", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "node")
+    key = ["group", "i", "j"]
+    sorted_ = parts.join(values, "node").select(*key, "node", "value").repartition(*key).sortWithinPartitions(*key)
+    return sorted_.mapInArrow(_spanning(maker), "a long, b long")
+
+
+def sample_links(classes: DataFrame, least: float) -> DataFrame:
+    """Links between classes of texts that share a sampled SimHash and whose sketches agree in the share least."""
+    met = classes.select(F.explode("samples").alias("group"), F.col("shape").alias("node"), F.lit(1).alias("weight"))
+    return links_within(met, classes.select(F.col("shape").alias("node"), F.col("sketch").alias("value")), lambda x: near_sketches(x, least), BLOCK_ROWS)
 
 
-def sample_links(sketches: DataFrame, least: float) -> DataFrame:
-    """Links between fingerprints that share a sampled SimHash and whose sketches agree in the share least."""
-    met = sketches.select("fingerprint", "sketch", F.explode("samples").alias("sample"))
-    return links_within(met, "sample", "fingerprint", "sketch", lambda x: near_sketches(x, least), BLOCK_ROWS)
+def class_ball_links(classes: DataFrame, radius: int) -> DataFrame:
+    """ball_links() between classes of texts, and links between those of one fingerprint."""
+    anchors = keep(classes.groupBy("fingerprint").agg(F.min("shape").alias("anchor")), "anchors")
+    same = classes.join(anchors, "fingerprint").filter("shape != anchor").select(F.col("anchor").alias("a"), F.col("shape").alias("b"))
+    x, y = (anchors.select(F.col("fingerprint").alias(c), F.col("anchor").alias(f"of_{c}")) for c in "ab")
+    return ball_links(anchors, radius).join(x, "a").join(y, "b").select(F.col("of_a").alias("a"), F.col("of_b").alias("b")).union(same)
 
 
-def _with_components(found: DataFrame, firsts: DataFrame, links: DataFrame, id_column: str) -> DataFrame:
-    labels = components(links).withColumnRenamed("node", "fingerprint")
-    rooted = keep(firsts.join(labels, "fingerprint", "left").select("fingerprint", "first", F.coalesce("root", "fingerprint").alias("root")), "rooted")
+def _with_components(found: DataFrame, firsts: DataFrame, links: DataFrame, id_column: str, node: str = "fingerprint") -> DataFrame:
+    labels = components(links).withColumnRenamed("node", node)
+    rooted = keep(firsts.join(labels, node, "left").select(node, "first", F.coalesce("root", node).alias("root")), "rooted")
     least = rooted.groupBy("root").agg(F.min("first").alias("component_id"))
-    of = rooted.join(least, "root").select("fingerprint", "component_id")
-    return found.join(of, "fingerprint").select(F.col("id").alias(id_column), "fingerprint", "component_id")
+    of = rooted.join(least, "root").select(node, "component_id")
+    return found.join(of, node).select(F.col("id").alias(id_column), "fingerprint", "component_id")
 
 
 def link(docs: DataFrame, words: int = 3, radius: int = 2, seed: int = 42, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
@@ -241,15 +259,19 @@ def link(docs: DataFrame, words: int = 3, radius: int = 2, seed: int = 42, id_co
 def near_duplicates(docs: DataFrame, words: int = 5, similarity: float = 0.8, radius: int = 2, tables: int = 12, size: int = 4, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """(id, fingerprint, component_id) where texts link if they have the share similarity of their shingles in common.
 
-    Candidates are those within radius bits, and all that share a sampled SimHash. Each candidate's sketches are compared.
+    Candidates are those within radius bits, and all that share a sampled SimHash and whose sketches agree in MARGIN less
+    than similarity. They only make groups; within a group the shingles themselves decide, for all pairs.
     """
     found = keep(fingerprints(docs, words, tables=tables, size=size, id_column=id_column, text_column=text_column), "sketches")
-    firsts = keep(found.groupBy("fingerprint").agg(F.min("id").alias("first"), F.min("sketch").alias("sketch"), F.min("samples").alias("samples")), "firsts")
-    x = firsts.select(F.col("fingerprint").alias("a"), F.col("sketch").alias("x"))
-    y = firsts.select(F.col("fingerprint").alias("b"), F.col("sketch").alias("y"))
-    balls = ball_links(firsts, radius).join(x, "a").join(y, "b").select("a", "b", "x", "y").mapInArrow(_agree(similarity - SLACK), "a long, b long")
-    links = balls.union(sample_links(firsts, similarity - SLACK)).distinct()
-    return _with_components(found.select("id", "fingerprint"), firsts.select("fingerprint", "first"), links, id_column)
+    of = [F.min(c).alias(c) for c in ("fingerprint", "samples", "sketch")]
+    classes = keep(found.groupBy("shape").agg(F.min("id").alias("first"), *of, F.min(F.octet_length("shingles") / 8).alias("weight")), "classes")
+    links = class_ball_links(classes, radius).union(sample_links(classes, similarity - MARGIN))
+    labels = components(links)
+    groups = keep(labels.union(labels.select("root", "root")).distinct(), "groups")
+    rows = groups.join(classes, F.col("node") == F.col("shape")).select(F.col("root").alias("group"), "node", "weight")
+    sets = found.join(groups, F.col("node") == F.col("shape"), "left_semi").groupBy(F.col("shape").alias("node")).agg(F.min("shingles").alias("value"))
+    same = links_within(rows, sets, lambda x: near_sets(x, similarity), BLOCK_SHINGLES)
+    return _with_components(found.select("id", "fingerprint", "shape"), classes.select("shape", "first"), keep(same, "links"), id_column, "shape")
 
 
 def deduplicate(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", **options) -> DataFrame:
