@@ -11,6 +11,8 @@ of further SimHashes, each over the few shingles that come first under the table
 one of them outright. What meets there is compared whole, however many meet, by sketches with a wide margin; the groups
 that come of it are decided by the exact share of distinct shingles in common. What is joined already is not compared again.
 
+Its classes are texts of equal distinct shingles (shape, a digest of them), never of equal fingerprints alone.
+
 Defined cases: a null or wordless text has fingerprint zero; a text of fewer words than a shingle is one shingle;
 repeated rows have equal fingerprints and share a component; rows without an id get their fingerprint's component.
 """
@@ -102,7 +104,7 @@ def _fingerprint(words: int, seed: int, tables: int, size: int):
                     columns.append(pa.ListArray.from_arrays(pa.array(range(0, len(flat) + 1, tables), pa.int32()), flat))
                     columns.append(pa.array([sketch(h) for h in hashes], pa.binary()))
                     distinct = [np.unique(h) for h in hashes]
-                    columns.append(columns[1])
+                    columns.append(_signed([xxhash.xxh3_64_intdigest(h.tobytes()) for h in distinct]))
                     columns.append(pa.array([h.tobytes() for h in distinct], pa.binary()))
                 yield pa.RecordBatch.from_arrays(columns, ["id", "fingerprint", "samples", "sketch", "shape", "shingles"][: len(columns)])
 

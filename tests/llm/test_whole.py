@@ -56,3 +56,10 @@ def test_lone_pairs_at_the_threshold(spark):
             texts += pair
             want |= {len(texts) - 2} | ({len(texts) - 1} if s < 0.8 else set())
     assert kept(spark, texts) == want
+
+
+def test_texts_of_one_fingerprint_stay(spark):
+    rng = random.Random(5)
+    names = vocabulary(rng)
+    texts = [" ".join([*rng.choices(names, k=200), *["again"] * 260]) for _ in range(20)]
+    assert kept(spark, texts) == set(range(20))
