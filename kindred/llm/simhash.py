@@ -98,12 +98,12 @@ def _fingerprint(words: int, seed: int, tables: int, size: int):
             for i in range(0, batch.num_rows, 500):
                 part = batch.slice(i, 500)
                 hashes = [shingle_hashes(x, words, seed) for x in texts(part.column("text"))]
-                columns = [part.column("id"), _signed([fold(h) for h in hashes])]
+                distinct = [np.unique(h) for h in hashes] if tables else hashes
+                columns = [part.column("id"), _signed([fold(h) for h in distinct])]
                 if tables:
-                    flat = _signed([x for h in hashes for x in sampled(h, tables, size)])
+                    flat = _signed([x for h in distinct for x in sampled(h, tables, size)])
                     columns.append(pa.ListArray.from_arrays(pa.array(range(0, len(flat) + 1, tables), pa.int32()), flat))
-                    columns.append(pa.array([sketch(h) for h in hashes], pa.binary()))
-                    distinct = [np.unique(h) for h in hashes]
+                    columns.append(pa.array([sketch(h) for h in distinct], pa.binary()))
                     columns.append(_signed([xxhash.xxh3_64_intdigest(h.tobytes()) for h in distinct]))
                     columns.append(pa.array([h.tobytes() for h in distinct], pa.binary()))
                 yield pa.RecordBatch.from_arrays(columns, ["id", "fingerprint", "samples", "sketch", "shape", "shingles"][: len(columns)])
@@ -112,7 +112,7 @@ def _fingerprint(words: int, seed: int, tables: int, size: int):
 
 
 def fingerprints(docs: DataFrame, words: int = 3, seed: int = 42, tables: int = 0, size: int = 4, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
-    """(id, fingerprint long[, samples array<long>, sketch binary, shape long, shingles binary]) of every row."""
+    """(id, fingerprint long[, samples array<long>, sketch binary, shape long, shingles binary]) of every row. With tables, repeated shingles count once."""
     prepare(docs.sparkSession)
     rows = docs.select(F.col(id_column).alias("id"), F.col(text_column).alias("text"))
     fields = [rows.schema["id"], T.StructField("fingerprint", T.LongType())]

@@ -63,3 +63,12 @@ def test_texts_of_one_fingerprint_stay(spark):
     names = vocabulary(rng)
     texts = [" ".join([*rng.choices(names, k=200), *["again"] * 260]) for _ in range(20)]
     assert kept(spark, texts) == set(range(20))
+
+
+def test_repeats_within_a_text_do_not_hide_copies(spark):
+    rng = random.Random(4)
+    names, texts = vocabulary(rng), []
+    for _ in range(30):
+        body, line = " ".join(rng.choices(names, k=200)), " ".join(rng.choices(names, k=11))
+        texts += [" ".join([body, *[line] * n]) for n in (2, 20, 60)]
+    assert kept(spark, texts) == {k for k in range(90) if k % 3 == 0}
