@@ -2,14 +2,14 @@
 
 A unit is a sentence of least_words words at least within a line, or as many shorter ones in a row, between such
 sentences and the line's ends, as make up least_words words; what is left of a row goes with the unit before it, or else
-after it. Sentences of over long_words words are cut once more,
-after words that their own hash picks. So a passage in the middle of a line falls into the same units wherever it stands,
+after it. A line of fewer words is a unit by itself, so repeated short lines, and passages laid out in them, are found.
+Sentences of over long_words words are cut once more, after words that their own hash picks. So a passage in the middle of a line falls into the same units wherever it stands,
 but for its ends: each longer sentence sets the units right again. Units are normalised (lower case, single blanks) and
 their 128-bit digests grouped over all documents.
 The occurrence of least rank (document id, then offset) stays; all others are cut out, and their offsets in the original
 text are kept.
 
-Defined cases: a null text stays null; what is shorter than a unit stays; rows that agree in both id and text count as one
+Defined cases: a null text stays null; a line without words is no unit; rows that agree in both id and text count as one
 document and are treated alike; rows without an id rank first; empty tables stay empty.
 """
 
@@ -66,6 +66,8 @@ def units(text: bytes, least: int = LEAST_WORDS, long: int = LONG_WORDS) -> Iter
             sentence = k + 1
         if found and begin < len(words):
             found[-1][1] = len(words)
+        if words and not found:
+            found.append([0, len(words)])
         for i, j in found:
             yield at + words[i][0], at + (words[j][0] if j < len(words) else len(line))
         at += len(line) + 1

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import random
 
-from kindred.llm import simhash
+from kindred.llm import repeats, simhash
 
 
 def vocabulary(rng, n=5000):
@@ -72,3 +72,15 @@ def test_repeats_within_a_text_do_not_hide_copies(spark):
         body, line = " ".join(rng.choices(names, k=200)), " ".join(rng.choices(names, k=11))
         texts += [" ".join([body, *[line] * n]) for n in (2, 20, 60)]
     assert kept(spark, texts) == {k for k in range(90) if k % 3 == 0}
+
+
+def test_short_lines_are_units(spark):
+    rng = random.Random(7)
+    names = vocabulary(rng)
+    passage = "\n".join(" ".join(rng.choices(names, k=6)) for _ in range(10))
+    texts = [f"{' '.join(rng.choices(names, k=20))}\n{passage}\n{' '.join(rng.choices(names, k=20))}\nAll rights reserved." for _ in range(3)]
+    got = [r["text"] for r in repeats.remove(table(spark, texts)).orderBy("doc_id").collect()]
+    assert got[0] == texts[0]
+    for text, left in zip(texts[1:], got[1:], strict=True):
+        lines = text.split("\n")
+        assert left.split() == " ".join([lines[0], lines[-2]]).split()
