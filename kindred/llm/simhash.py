@@ -20,6 +20,7 @@ repeated rows have equal fingerprints and share a component; rows without an id
 from __future__ import annotations
 
 from collections.abc import Callable, Iterable, Iterator
+from functools import lru_cache
 from itertools import combinations
 
 import numpy as np
@@ -64,18 +65,24 @@ def fold(hashes: np.ndarray) -> int:
     return int.from_bytes(np.packbits(total * 2 > len(hashes)).tobytes(), "big")
 
 
-def sampled(hashes: np.ndarray, tables: int, size: int) -> list[int]:
+@lru_cache(8)
+def _multipliers(tables: int) -> np.ndarray:
+    """An odd factor a table: its own order of the hashes."""
+    return np.random.RandomState(7).randint(1, 1 << 62, tables).astype(np.uint64)[:, None] * np.uint64(2) + np.uint64(1)
+
+
+def sampled(distinct: np.ndarray, tables: int, size: int) -> np.ndarray:
     """For each table the SimHash of the size distinct shingles that its own order puts first, mixed with the table's number."""
-    distinct = np.unique(hashes)
-    odd = np.random.RandomState(7).randint(1, 1 << 62, tables).astype(np.uint64) * np.uint64(2) + np.uint64(1)
-    out = []
-    for t in range(tables):
-        mixed = distinct * odd[t]
-        mixed ^= mixed >> np.uint64(31)
-        mixed *= np.uint64(0x9E3779B97F4A7C15)
-        first = np.argpartition(mixed, size)[:size] if len(mixed) > size else slice(None)
-        out.append((fold(distinct[first]) * 0x9E3779B97F4A7C15 + t) % (1 << 64))
-    return out
+    numbers = np.arange(tables, dtype=np.uint64)
+    if not len(distinct):
+        return numbers
+    mixed = distinct * _multipliers(tables)
+    mixed ^= mixed >> np.uint64(31)
+    mixed *= np.uint64(0x9E3779B97F4A7C15)
+    first = np.argpartition(mixed, size, axis=1)[:, :size] if len(distinct) > size else np.broadcast_to(np.arange(len(distinct)), mixed.shape)
+    bits = np.unpackbits(distinct[first].astype(">u8").view(np.uint8).reshape(tables, -1, 8), axis=2)
+    folded = np.packbits(bits.sum(1, dtype=np.int64) * 2 > first.shape[1], axis=1).view(">u8").ravel().astype(np.uint64)
+    return folded * np.uint64(0x9E3779B97F4A7C15) + numbers
 
 
 def sketch(hashes: np.ndarray) -> bytes:
@@ -101,23 +108,24 @@ def _fingerprint(words: int, seed: int, tables: int, size: int):
                 distinct = [np.unique(h) for h in hashes] if tables else hashes
                 columns = [part.column("id"), _signed([fold(h) for h in distinct])]
                 if tables:
-                    flat = _signed([x for h in distinct for x in sampled(h, tables, size)])
+                    flat = pa.array(np.concatenate([sampled(h, tables, size) for h in distinct]).view(np.int64))
                     columns.append(pa.ListArray.from_arrays(pa.array(range(0, len(flat) + 1, tables), pa.int32()), flat))
                     columns.append(pa.array([sketch(h) for h in distinct], pa.binary()))
                     columns.append(_signed([xxhash.xxh3_64_intdigest(h.tobytes()) for h in distinct]))
+                    columns.append(pa.array([len(h) for h in distinct], pa.int64()))
                     columns.append(pa.array([h.tobytes() for h in distinct], pa.binary()))
-                yield pa.RecordBatch.from_arrays(columns, ["id", "fingerprint", "samples", "sketch", "shape", "shingles"][: len(columns)])
+                yield pa.RecordBatch.from_arrays(columns, ["id", "fingerprint", "samples", "sketch", "shape", "weight", "shingles"][: len(columns)])
 
     return run
 
 
 def fingerprints(docs: DataFrame, words: int = 3, seed: int = 42, tables: int = 0, size: int = 4, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
-    """(id, fingerprint long[, samples array<long>, sketch binary, shape long, shingles binary]) of every row. With tables, repeated shingles count once."""
+    """(id, fingerprint long[, samples array<long>, sketch binary, shape long, weight long, shingles binary]) of every row. With tables, repeated shingles count once."""
     prepare(docs.sparkSession)
     rows = docs.select(F.col(id_column).alias("id"), F.col(text_column).alias("text"))
     fields = [rows.schema["id"], T.StructField("fingerprint", T.LongType())]
     if tables:
-        fields += [T.StructField("samples", T.ArrayType(T.LongType())), T.StructField("sketch", T.BinaryType()), T.StructField("shape", T.LongType()), T.StructField("shingles", T.BinaryType())]
+        fields += [T.StructField("samples", T.ArrayType(T.LongType())), T.StructField("sketch", T.BinaryType()), T.StructField("shape", T.LongType()), T.StructField("weight", T.LongType()), T.StructField("shingles", T.BinaryType())]
     return rows.mapInArrow(_fingerprint(words, seed, tables, size), T.StructType([T.StructField("id", fields[0].dataType), *fields[1:]]))
 
 
@@ -265,13 +273,14 @@ def near_duplicates(docs: DataFrame, words: int = 5, similarity: float = 0.8, ra
     than similarity. They only make groups; within a group the shingles themselves decide, for all pairs.
     """
     found = keep(fingerprints(docs, words, tables=tables, size=size, id_column=id_column, text_column=text_column), "sketches")
-    of = [F.min(c).alias(c) for c in ("fingerprint", "samples", "sketch")]
-    classes = keep(found.groupBy("shape").agg(F.min("id").alias("first"), *of, F.min(F.octet_length("shingles") / 8).alias("weight")), "classes")
+    # Equal shapes are equal in all of these; the shingles themselves are left where they lie.
+    of = [F.any_value(c).alias(c) for c in ("fingerprint", "samples", "sketch", "weight")]
+    classes = keep(found.groupBy("shape").agg(F.min("id").alias("first"), *of), "classes")
     links = class_ball_links(classes, radius).union(sample_links(classes, similarity - MARGIN))
     labels = components(links)
     groups = keep(labels.union(labels.select("root", "root")).distinct(), "groups")
     rows = groups.join(classes, F.col("node") == F.col("shape")).select(F.col("root").alias("group"), "node", "weight")
-    sets = found.join(groups, F.col("node") == F.col("shape"), "left_semi").groupBy(F.col("shape").alias("node")).agg(F.min("shingles").alias("value"))
+    sets = found.join(groups, F.col("node") == F.col("shape"), "left_semi").groupBy(F.col("shape").alias("node")).agg(F.any_value("shingles").alias("value"))
     same = links_within(rows, sets, lambda x: near_sets(x, similarity), BLOCK_SHINGLES)
     return _with_components(found.select("id", "fingerprint", "shape"), classes.select("shape", "first"), keep(same, "links"), id_column, "shape")
 
