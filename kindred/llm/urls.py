@@ -1,17 +1,19 @@
-"""URL filters: explicit rules first, then a tree of path templates.
+"""URL filters: explicit rules first, then a tree of path templates per host.
 
 A path's segments that look variable (numbers, long or mixed with digits) become wildcards; then, host by host and
-level by level, a node whose children are many and seldom repeated has them generalised into one wildcard. Templates
-of one host form a tree; the same templates over all hosts form a second one, which a host's tree backs off to.
-
-The pages that rules decide are the labels. Going down from the tree over all hosts to the host's own leaf, a branch
-whose share of blocked pages does not differ significantly from what its parent would lead one to expect is merged with
-its parent; any other takes its own share, smoothed by its parent's. A template of share CUT or more is rejected; one
-without a labelled page on its own host keeps the prior, so that no host is judged by others' pages alone.
-
-Defined cases: a null url, or one without "://", has empty host and path, which is a template like any other; with no
-page decided by a rule every share is the prior and everything is allowed; repeated rows are judged alike; the rule of
-most characters wins, the first listed among equals.
+level by level, a node whose children are many and seldom repeated has them generalised into one wildcard. The
+templates of one host form its tree.
+
+The pages that rules decide are the labels. Going down a host's tree from its root, a branch whose share of blocked
+pages does not differ significantly from what its parent would lead one to expect is merged with its parent; any other
+takes its own share, smoothed by its parent's. A branch without a labelled page has the share of the deepest node above
+it that has one, and a host without any the prior: no host is judged by the pages of others. A template of share CUT or
+more is rejected.
+
+Defined cases: a null url, or one without "://", has empty host and path, which is a template like any other; a url's
+length has no bound, but only DEPTH segments of its path tell templates apart; with no page decided by a rule every
+share is the prior and everything is allowed; repeated rows are judged alike; the rule of most characters wins, the
+first listed among equals; columns but the id and the url are not read, so none can clash; an empty table gives none.
 """
 
 from __future__ import annotations
@@ -21,6 +23,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .shared import keep
+
 DEPTH = 4
 #: A node's children become a wildcard if they are more than this many and are met less than FEW times on average.
 MANY, FEW = 20, 3.0
@@ -78,13 +82,12 @@ def segments(path: Column, depth: int = DEPTH) -> Column:
     return F.when(F.size(shown) <= depth, shown).otherwise(F.concat(F.slice(shown, 1, depth), F.array(F.lit("**"))))
 
 
-def templates(pages: DataFrame, depth: int = DEPTH) -> DataFrame:
-    """(host, raw, template, n, labelled, blocked) from (host, raw array, label): one row a host and raw template.
+def templates(counted: DataFrame, depth: int = DEPTH) -> DataFrame:
+    """(host, raw, template, labelled, blocked) from (host, raw, n, labelled, blocked), one row a host and raw template.
 
-    Pages are counted before anything is joined, so a host with a third of all pages is no heavier than its templates.
+    Each level needs what the one before it generalised, so each is kept: a plan reads its predecessor twice.
     """
-    counted = pages.groupBy("host", "raw").agg(F.count("*").alias("n"), F.count("label").alias("labelled"), F.coalesce(F.sum("label"), F.lit(0)).alias("blocked"))
-    rows = counted.withColumn("template", F.col("raw"))
+    rows = keep(counted.withColumn("template", F.col("raw")), "level0")
     for level in range(1, depth + 1):
         before, child = F.slice("template", 1, level - 1), F.try_element_at("template", F.lit(level))
         at = rows.withColumn("parent", before).withColumn("child", child)
@@ -92,8 +95,9 @@ def templates(pages: DataFrame, depth: int = DEPTH) -> DataFrame:
         wide = children.groupBy("host", "parent").agg(F.count("*").alias("many"), F.sum("n").alias("n")).filter((F.col("many") > MANY) & (F.col("n") < F.col("many") * FEW)).select("host", "parent", F.lit(True).alias("wide"))
         joined = at.join(wide, ["host", "parent"], "left")
         general = F.concat(F.col("parent"), F.array(F.lit("*")), F.slice("template", level + 1, depth + 1))
-        rows = joined.select("host", "raw", "n", "labelled", "blocked", F.when(F.col("wide") & F.col("child").isNotNull() & (F.col("child") != "**"), general).otherwise(F.col("template")).alias("template"))
-    return rows
+        template = F.when(F.col("wide") & F.col("child").isNotNull() & (F.col("child") != "**"), general).otherwise(F.col("template"))
+        rows = keep(joined.select("host", "raw", "n", "labelled", "blocked", template.alias("template")), f"level{level}")
+    return rows.drop("n")
 
 
 def _share(line: str) -> Column:
@@ -101,36 +105,35 @@ def _share(line: str) -> Column:
 
     def step(share: Column, node: Column) -> Column:
         n, bad = node["labelled"].cast("double"), node["blocked"].cast("double")
-        spread = F.sqrt(n * share * (1 - share))
-        merged = F.abs(bad - n * share) <= APART * spread
+        merged = F.abs(bad - n * share) <= APART * F.sqrt(n * share * (1 - share))
         return F.when((n == 0) | merged, share).otherwise((bad + SMOOTHING * share) / (n + SMOOTHING))
 
     return F.aggregate(line, F.lit(PRIOR), step)
 
 
-def shares(rows: DataFrame, depth: int = DEPTH) -> DataFrame:
-    """(host, raw, template, share) for the rows of templates()."""
-    lines = rows.select("host", "raw", "template", "labelled", "blocked", F.explode(F.sequence(F.lit(0), F.size("template"))).alias("k")).withColumn("node", F.slice("template", F.lit(1), F.col("k")))
-    own = lines.groupBy("host", "node").agg(F.sum("labelled").alias("labelled"), F.sum("blocked").alias("blocked"))
-    every = own.groupBy("node").agg(F.sum("labelled").alias("all_labelled"), F.sum("blocked").alias("all_blocked"))
-    nodes = own.join(every, "node")
-    met = lines.select("host", "raw", "template", "k", "node").join(nodes, ["host", "node"])
-    first = F.struct(F.lit(0).alias("tree"), "k", F.col("all_labelled").alias("labelled"), F.col("all_blocked").alias("blocked"))
-    second = F.struct(F.lit(1).alias("tree"), "k", F.col("labelled"), F.col("blocked"))
-    # A line has at most two nodes a level.
-    line = met.select("host", "raw", "template", F.explode(F.array(first, second)).alias("x")).groupBy("host", "raw", "template").agg(F.sort_array(F.collect_list("x")).alias("line"))
-    leaf = F.element_at("line", -1)
-    return line.select("host", "raw", "template", F.when(leaf["labelled"] == 0, PRIOR).otherwise(_share("line")).alias("share"))
+def shares(rows: DataFrame) -> DataFrame:
+    """(host, template, share) for the templates of rows (host, template, labelled, blocked)."""
+    leaves = rows.groupBy("host", "template").agg(F.sum("labelled").alias("labelled"), F.sum("blocked").alias("blocked"))
+    lines = leaves.withColumn("k", F.explode(F.sequence(F.lit(0), F.size("template")))).withColumn("node", F.slice("template", F.lit(1), F.col("k")))
+    nodes = lines.groupBy("host", "node").agg(F.sum("labelled").alias("labelled"), F.sum("blocked").alias("blocked"))
+    met = lines.select("host", "template", "k", "node").join(nodes, ["host", "node"])
+    # A line has a node a level, so no list grows with the table.
+    line = met.groupBy("host", "template").agg(F.sort_array(F.collect_list(F.struct("k", "labelled", "blocked"))).alias("line"))
+    return line.select("host", "template", _share("line").alias("share"))
 
 
 def judge(pages: DataFrame, rules: tuple[Rule, ...] = RULES, id_column: str = "page_id", url_column: str = "url", depth: int = DEPTH) -> DataFrame:
-    """(id, host, path, rule, verdict, template, share) of every page."""
+    """(id, host, path, rule, verdict, template, share) of every page.
+
+    Pages are counted by template before anything is joined, so a host with a third of all is no heavier than its templates.
+    """
     host, path = parsed(F.col(url_column))
     split = pages.select(F.col(id_column).alias("id"), host.alias("host"), path.alias("path"))
     name, verdict = ruled(F.col("host"), F.col("path"), rules)
-    known = split.select("id", "host", "path", name.alias("rule"), verdict.alias("said"), segments(F.col("path"), depth).alias("raw"))
-    labelled = known.select("host", "raw", (F.col("said") == "block").cast("int").alias("label"))
-    found = shares(templates(labelled, depth), depth)
-    joined = known.join(found, ["host", "raw"])
+    known = keep(split.select("id", "host", "path", name.alias("rule"), verdict.alias("said"), segments(F.col("path"), depth).alias("raw")), "urls")
+    counted = known.groupBy("host", "raw").agg(F.count("*").alias("n"), F.count("said").alias("labelled"), F.count_if(F.col("said") == "block").alias("blocked"))
+    found = templates(counted, depth)
+    judged = found.select("host", "raw", "template").join(shares(found), ["host", "template"])
+    joined = known.join(judged, ["host", "raw"])
     own = F.when(F.col("share") >= CUT, "block").otherwise("allow")
     return joined.select(F.col("id").alias(id_column), "host", "path", "rule", F.coalesce("said", own).alias("verdict"), F.concat(F.lit("/"), F.array_join("template", "/")).alias("template"), F.round("share", 6).alias("share"))

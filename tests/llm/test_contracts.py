@@ -67,16 +67,84 @@ def test_op3(spark, sf_dir, docs):
     assert np.mean([x > 0.3 for x in near]) > 0.95
 
 
-def test_op5(spark, sf_dir):
-    for r in queries.op5_url_filter(spark, sf_dir).join(spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "url"), "page_id").collect():
+def template_tree(pages, depth=4):
+    """(template, share) of each (host, path, said), host by host with dictionaries: what urls.judge should find."""
+    out = {}
+    for host in {h for h, _, _ in pages}:
+        own = collections.defaultdict(lambda: [0, 0, 0])  # raw template: pages, labelled, blocked
+        for h, path, said in pages:
+            if h == host:
+                raw = tuple("*" if re.search("[0-9]", x) or len(x) > 24 else x for x in path.split("/") if x)
+                count = own[raw if len(raw) <= depth else (*raw[:depth], "**")]
+                count[0] += 1
+                count[1] += said is not None
+                count[2] += said == "block"
+        now = {raw: raw for raw in own}
+        for level in range(depth):
+            met = collections.defaultdict(collections.Counter)
+            for raw, t in now.items():
+                if len(t) > level and t[level] not in ("*", "**"):
+                    met[t[:level]][t[level]] += own[raw][0]
+            wide = {p for p, c in met.items() if len(c) > 20 and sum(c.values()) < 3 * len(c)}
+            now = {raw: (*t[:level], "*", *t[level + 1 :]) if len(t) > level and t[level] != "**" and t[:level] in wide else t for raw, t in now.items()}
+        nodes = collections.defaultdict(lambda: [0, 0])
+        for raw, t in now.items():
+            for k in range(len(t) + 1):
+                nodes[t[:k]][0] += own[raw][1]
+                nodes[t[:k]][1] += own[raw][2]
+        for raw, t in now.items():
+            share = 0.25
+            for k in range(len(t) + 1):
+                n, bad = nodes[t[:k]]
+                if n and abs(bad - n * share) > 2 * (n * share * (1 - share)) ** 0.5:
+                    share = (bad + 4 * share) / (n + 4)
+            out[host, raw] = ("/" + "/".join(t), share)
+    return out
+
+
+def held_against_tree(got, rules):
+    """Host, path and rule of every (url, row); then template, share and verdict by template_tree()."""
+    pages = []
+    for url, r in got:
         host = path = ""
-        if r["url"] and "://" in r["url"]:
-            m = re.match(r"([^/?#]*)([^?#]*)", r["url"].split("://", 1)[1], re.S)
+        if url and "://" in url:
+            m = re.match(r"([^/?#]*)([^?#]*)", url.split("://", 1)[1], re.S)
             host, path = m[1].translate(UPPER), m[2]
-        fits = [x for x in urls.RULES if (host == x.host or host.endswith("." + x.host)) and path.startswith(x.path)]
+        fits = [x for x in rules if (host == x.host or host.endswith("." + x.host)) and path.startswith(x.path)]
         best = max(fits, key=lambda x: len(x.name)) if fits else None
         assert (r["host"], r["path"], r["rule"]) == (host, path, best.name if best else None)
-        assert r["verdict"] == best.verdict if best else r["verdict"] in ("allow", "block")
+        pages.append((host, path, best.verdict if best else None))
+    found = template_tree(pages)
+    for (host, path, said), (_, r) in zip(pages, got, strict=True):
+        raw = tuple("*" if re.search("[0-9]", x) or len(x) > 24 else x for x in path.split("/") if x)
+        template, share = found[host, raw if len(raw) <= 4 else (*raw[:4], "**")]
+        assert r["template"] == template and abs(r["share"] - share) < 1e-5
+        assert r["verdict"] == (said or ("block" if share >= 0.5 else "allow"))
+
+
+@pytest.mark.parametrize("folder", ["sf0.01", "sf0.1"])
+def test_op5(spark, folder):
+    folder = f"/root/testdata/{folder}"
+    met = queries.op5_url_filter(spark, folder).join(spark.read.parquet(f"{folder}/pages.parquet").select("page_id", "url"), "page_id").collect()
+    held_against_tree([(r["url"], r) for r in met], urls.RULES)
+    assert len(met) == spark.read.parquet(f"{folder}/pages.parquet").count()
+    # The tree decides: pages without a rule have several shares and both verdicts.
+    free = [r for r in met if r["rule"] is None]
+    assert {r["verdict"] for r in free} == {"allow", "block"} and len({r["share"] for r in free}) > 2
+
+
+def test_template_tree_of_many_shapes(spark):
+    """Wide levels, wildcards, deep paths and mixed labels on a host that holds a third of all pages."""
+    rng = np.random.default_rng(11)
+    words = ["".join(rng.choice(list("abcdefgh"), 6)) for _ in range(60)]
+    rules = (urls.Rule("block", "h.org", "/bad/"), urls.Rule("allow", "h.org", "/good/"), urls.Rule("block", "k.org", "/p/x/"), urls.Rule("allow", "k.org", "/p/y/"))
+    pages = []
+    for _ in range(900):
+        host = rng.choice(["h.org", "a.h.org", "k.org", "q.net"], p=[0.4, 0.2, 0.3, 0.1])
+        parts = [rng.choice(["bad", "good", "p", "other", rng.choice(words)]), rng.choice(["x", "y", rng.choice(words), str(rng.integers(99))]), *rng.choice(words, rng.integers(0, 4))]
+        pages.append(f"http://{host}/{'/'.join(parts[: rng.integers(0, 6)])}")
+    got = urls.judge(spark.createDataFrame(list(enumerate(pages)), "page_id long, url string"), rules).collect()
+    held_against_tree([(pages[r["page_id"]], r) for r in got], rules)
 
 
 def test_op6(spark, sf_dir, docs):
