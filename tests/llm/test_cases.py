@@ -274,15 +274,53 @@ def test_models_of_nothing_and_of_one_class(spark, docs, module):
 def test_grammar_patterns():
     g = toxicity.grammar()
     I, H, T, N, R, O, E = toxicity.INSULT, toxicity.THREAT, toxicity.TARGET, toxicity.NEGATION, toxicity.REPORT, toxicity.OTHER, toxicity.END  # noqa: E741, N806
-    assert g.run([T, O, I])[2] == 1.5 and g.run([T, E, I])[2] == 1.0
-    assert round(g.run([N, O, I])[2], 3) == 0.6 and g.run([N, O, O, O, I])[4] == 1.0
-    assert round(g.run([R, O, O, O, O, I])[5], 3) == 0.8
+    lone = toxicity.LONE
+    at = lambda k, *symbols: round(g.run(symbols)[k] / lone, 6)
+    assert at(2, T, O, I) == 1.5 and at(2, T, E, I) == 1.0
+    assert at(2, N, O, I) == 0.6 and at(4, N, O, O, O, I) == 1.0
+    assert at(5, R, O, O, O, O, I) == 0.8
+    assert g.run([I, O, I])[2] == 1.0 and g.run([I, E, E, E, I])[4] == lone and g.run([I, E, E, I])[3] == 1.0
     assert g.run([H, T])[1] == 1.0 and g.run([O, T])[1] == 0.0 and g.run([H, E, T])[2] == 0.0
     score = lambda t: toxicity.score_batch(pa.array([t]), toxicity.Lexicon({}, {}), g)[0][1]
-    assert score("You are an idiot.") > score("An idiot.") > score("You are not an idiot.") > score("nice words") == 0
+    assert score("nice words") == 0
     assert score("I will kill you") == 1.0 and score("I will kill time") == 0.0
 
 
+#: The first of each pair is the more toxic; both have the same insults and threats.
+PAIRS = [
+    ("You are an idiot.", "There was an idiot."),
+    ("You are an idiot.", "You are not an idiot."),
+    ("He is a moron, and a clown.", "He is a moron. So they went. The day was long. It rained. A clown came."),
+    ("What a pathetic loser.", "Critics said what a pathetic loser."),
+    ("They will kill you.", "They will never kill you."),
+    ("I will kill you.", "I will kill time."),
+    ("Du bist dumm, Dummkopf.", "Du bist nicht dumm. Morgen. Abend. Nacht. Dummkopf."),
+]
+
+
+def test_the_grammar_orders_what_its_words_do_not():
+    """With all weights 1 these pairs tie or change places."""
+    texts = [t for pair in PAIRS for t in pair]
+    flat = toxicity.compose(toxicity.window(toxicity.TARGET, 3, {}), toxicity.again(3, 1.0))
+    score = lambda m: toxicity.score_batch(pa.array(texts), toxicity.Lexicon({}, {}), m)[:, 1].reshape(-1, 2)
+    full = score(toxicity.grammar())
+    assert (full[:, 0] > full[:, 1]).all(), full
+    without = score(flat)
+    # A threat without a target is none in either.
+    assert all(a <= b for (a, b), pair in zip(without, PAIRS, strict=True) if "kill time" not in pair[1])
+
+
+def test_learnt_words_are_whole_words_or_long_stems(spark):
+    """Words that merely begin like an insult are none; seeds of other kinds keep theirs."""
+    rows = [(k, k % 2, "You are a worthless pathetic idiot, never said better, scumbagging." if k % 2 else "The pathway is worthwhile, path worth idiom.") for k in range(60)]
+    model = toxicity.fit(spark.createDataFrame(rows, "id long, label int, text string"))
+    own = toxicity.Lexicon(*model["lexicon"])
+    clean = "The pathway through the park is worthwhile and worthy. Idiomatic clownfish trashes scum-free, they never said."
+    got = toxicity.score_batch(pa.array([clean, "A pathetically worthless scumbagged idiot."]), own, model["machine"])
+    assert not got[0].any() and got[1][1] > 0
+    assert own.read([b"you", b"never", b"said", b"kill"])[0].tolist() == [toxicity.TARGET, toxicity.NEGATION, toxicity.REPORT, toxicity.THREAT]
+
+
 def test_logistic_is_calibrated():
     rng = np.random.default_rng(2)
     x = rng.normal(size=(4000, 2))
