@@ -315,7 +315,7 @@ def test_learnt_words_are_whole_words_or_long_stems(spark):
     rows = [(k, k % 2, "You are a worthless pathetic idiot, never said better, scumbagging." if k % 2 else "The pathway is worthwhile, path worth idiom.") for k in range(60)]
     model = toxicity.fit(spark.createDataFrame(rows, "id long, label int, text string"))
     own = toxicity.Lexicon(*model["lexicon"])
-    clean = "The pathway through the park is worthwhile and worthy. Idiomatic clownfish trashes scum-free, they never said."
+    clean = "The pathway through the park is worthwhile and worthy. Idiomatic clownfish trashes, they never said."
     got = toxicity.score_batch(pa.array([clean, "A pathetically worthless scumbagged idiot."]), own, model["machine"])
     assert not got[0].any() and got[1][1] > 0
     assert own.read([b"you", b"never", b"said", b"kill"])[0].tolist() == [toxicity.TARGET, toxicity.NEGATION, toxicity.REPORT, toxicity.THREAT]
