@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..workers import ship
-from .tables import keep
+from .tables import keep, scratch
 
 #: Distinct links up to which one task finds the components by union-find; more go through rounds of joins.
 LOCAL_LINKS = 200_000
@@ -51,30 +51,33 @@ def components(edges: DataFrame, src: str = "src", dst: str = "dst", local_links
     """(node, root): root is the least node reachable over active edges; nodes of no edge are absent.
 
     A node's least neighbour comes from an aggregation joined back on the node: a hub's edges are combined where they
-    lie. Each round is kept, so rounds do not pile up in the plan.
+    lie. Each round is kept, so rounds do not pile up in the plan; the labels are kept, and the rounds removed.
     """
     a, b = F.col(src), F.col(dst)
     links = active(edges).filter(a.isNotNull() & b.isNotNull()).select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v"))
-    stars = keep(links.distinct(), "links")
-    kind = stars.schema["u"].dataType
-    if stars.count() <= local_links:
-        ship(edges.sparkSession)
-        schema = T.StructType([T.StructField("node", kind), T.StructField("root", kind)])
-        return stars.coalesce(1).mapInPandas(_forest, schema)
-    loops = stars.filter("u = v").select(F.col("u").alias("node"), F.col("v").alias("root"))
-    stars = stars.filter("u != v")
+    with scratch(edges.sparkSession) as held:
+        stars = held(links.distinct(), "links")
+        if stars.count() <= local_links:
+            ship(edges.sparkSession)
+            kind = stars.schema["u"].dataType
+            return keep(stars.coalesce(1).mapInPandas(_forest, T.StructType([T.StructField("node", kind), T.StructField("root", kind)])), "components")
+        return keep(_by_rounds(stars, held, rounds), "components")
+
+
+def _by_rounds(links: DataFrame, held: Callable[[DataFrame, str], DataFrame], rounds: int) -> DataFrame:
+    loops = links.filter("u = v").select(F.col("u").alias("node"), F.col("v").alias("root"))
+    stars = links.filter("u != v")
     state = _state(stars)
     for _ in range(rounds):
         both = stars.union(stars.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         pulled = both.filter("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         nearest = pulled.join(pulled.groupBy("u").agg(F.min("v").alias("m")), "u")
-        stars = keep(nearest.select("u", F.col("m").alias("v")).union(nearest.filter("v != m").select(F.col("v").alias("u"), F.col("m").alias("v"))).distinct(), "stars")
+        stars = held(nearest.select("u", F.col("m").alias("v")).union(nearest.filter("v != m").select(F.col("v").alias("u"), F.col("m").alias("v"))).distinct(), "stars")
         before, state = state, _state(stars)
         if before == state:
             found = stars.select(F.col("u").alias("node"), F.col("v").alias("root"))
-            roots = found.select(F.col("root").alias("node"), "root").distinct()
-            named = found.union(roots)
+            named = found.union(found.select(F.col("root").alias("node"), "root").distinct())
             return named.union(loops.join(named.select("node"), "node", "left_anti"))
     raise RuntimeError(f"no fixed point after {rounds} rounds")
 

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.names import jaro_winkler_similarity
-from .tables import keep
+from .tables import keep, scratch
 
 
 def rewire(relations: DataFrame, mapping: DataFrame, drop_loops: bool = True) -> DataFrame:
@@ -30,13 +30,15 @@ def resolve_chains(mapping: DataFrame, most: int = 100) -> DataFrame:
     Each round doubles the length that is followed, so a chain of most hops takes about log2(most) joins.
     """
     entity, target = F.col("entity"), F.col("golden")
-    state = keep(mapping.groupBy("entity").agg(F.min("golden").alias("golden")).select(entity, target.alias("final"), F.lit(1).cast("long").alias("hops")), "chains")
-    for _ in range(max(1, most.bit_length() + 1)):
-        ahead = state.select(F.col("entity").alias("final"), F.col("final").alias("_f"), F.col("hops").alias("_h"))
-        step = state.join(ahead, "final", "left").select("entity", F.coalesce("_f", "final").alias("final"), F.least(F.col("hops") + F.coalesce("_h", F.lit(0)), F.lit(1 << 40)).alias("hops"))
-        state = keep(step, "chains")
-        if state.join(state.select(F.col("entity").alias("final")), "final", "left_semi").isEmpty():
-            break
+    with scratch(mapping.sparkSession) as held:
+        state = held(mapping.groupBy("entity").agg(F.min("golden").alias("golden")).select(entity, target.alias("final"), F.lit(1).cast("long").alias("hops")), "chains")
+        for _ in range(max(1, most.bit_length() + 1)):
+            ahead = state.select(F.col("entity").alias("final"), F.col("final").alias("_f"), F.col("hops").alias("_h"))
+            step = state.join(ahead, "final", "left").select("entity", F.coalesce("_f", "final").alias("final"), F.least(F.col("hops") + F.coalesce("_h", F.lit(0)), F.lit(1 << 40)).alias("hops"))
+            state = held(step, "chains")
+            if state.join(state.select(F.col("entity").alias("final")), "final", "left_semi").isEmpty():
+                break
+        state = keep(state, "chains")
     unfinished = state.select(F.col("entity").alias("final"), F.lit(True).alias("_on"))
     met = state.join(unfinished, "final", "left")
     status = F.when(F.col("_on"), "cycle").when(F.col("hops") > most, "too_long").otherwise("ok")
