@@ -2,11 +2,14 @@
 
 Texts are cut into pieces (the spans that merges never cross) batch by batch. A block of texts is written to the
 shared folder as codes into the block's own list of distinct pieces; only those lists are shuffled. They meet by
-piece, so that each distinct piece is encoded once, and return to their blocks, where ids are put back by position.
-Decoding joins ids to the vocabulary's pieces, a table of fixed size.
-
-Defined cases: a null text counts as empty and has no ids; repeated rows and null ids of documents are kept as they
-are; other columns of the input are not read, so none can clash; an empty table gives an empty result.
+bucket of the piece's hash. The task of a bucket holds its distinct pieces, one in so many of the whole table's, and
+encodes each once, whichever blocks it came from; the ids return to the blocks, where they are put back by position.
+Decoding joins ids to the vocabulary's pieces: a table of fixed size whose keys are its row numbers, so the join is a
+lookup in a copy that every worker has.
+
+Defined cases: a null text counts as empty and has no ids; a text of any length is encoded whole, in one block; repeated
+rows and null ids of documents are kept as they are; the order of rows is not; other columns of the input are not read,
+so none can clash; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -24,14 +27,12 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import pieces as cut
-from .shared import blocks, filesystem, keep, local_uri, prepare, shared_folder
+from .shared import blocks, filesystem, keep, prepare, shared_folder
 
 #: Bytes of text in a block.
 BLOCK_BYTES = 12 << 20
 #: Buckets that a block's distinct pieces are dealt to: a piece always goes to the same one.
 MOST_BUCKETS = 2048
-#: Pieces that an encoder keeps: few, as each piece comes once.
-CACHE = 50_000
 
 
 def pack(values: pa.Array) -> bytes:
@@ -51,7 +52,7 @@ def unpack(packed: bytes) -> pa.Array:
 
 def _split(folder: str, special: dict[bytes, int], buckets: int):
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        fs, root = filesystem(local_uri(folder))
+        fs, root = filesystem(folder)
         fs.create_dir(root, recursive=True)
         for part in blocks(batches, "text", BLOCK_BYTES):
             found, first = cut.split(part.column("text"), special)
@@ -82,10 +83,18 @@ def _split(folder: str, special: dict[bytes, int], buckets: int):
 
 def _encode(tokenizer: str):
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = cut.encoder(tokenizer, CACHE)
+        # A bucket's rows follow each other. Its pieces are in no other bucket, so each is encoded once in all.
+        encoder, now = cut.encoder(tokenizer, None), None
+        encoder.known.clear()
         for batch in batches:
-            ids = [pack(pa.array(encoder.ids(unpack(raw.as_py()).to_pylist()), pa.binary())) for raw in batch.column("pieces")]
+            ids = []
+            for bucket, raw in zip(batch.column("bucket").to_pylist(), batch.column("pieces"), strict=True):
+                if bucket != now:
+                    encoder.known.clear()
+                    now = bucket
+                ids.append(pack(pa.array(encoder.ids(unpack(raw.as_py()).to_pylist()), pa.binary())))
             yield pa.RecordBatch.from_arrays([batch.column("block"), batch.column("bucket"), pa.array(ids, pa.binary())], ["block", "bucket", "ids"])
+        encoder.known.clear()
 
     return run
 
@@ -110,7 +119,7 @@ def _assemble(folder: str):
             yield pa.RecordBatch.from_arrays([table.column("id").combine_chunks().slice(i, j - i), pa.ListArray.from_arrays(pa.array(at, pa.int32()), values)], ["id", "ids"])
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        fs, root = filesystem(local_uri(folder))
+        fs, root = filesystem(folder)
         block, ids = None, []
         for batch in batches:
             for b, x in zip(batch.column("block").to_pylist(), batch.column("ids").to_pylist(), strict=True):
@@ -132,8 +141,8 @@ def encode(docs: DataFrame, tokenizer: str, id_column: str = "doc_id", text_colu
     folder = f"{shared_folder(spark)}/codes"
     n = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
     rows = docs.select(F.col(id_column).alias("id"), F.col(text_column).alias("text"))
-    words = keep(rows.mapInArrow(_split(folder, cut.encoder(tokenizer, CACHE).special, min(n, MOST_BUCKETS)), "block string, bucket int, pieces binary"), "words")
-    encoded = words.repartition(n, "bucket").mapInArrow(_encode(tokenizer), "block string, bucket int, ids binary")
+    words = keep(rows.mapInArrow(_split(folder, cut.encoder(tokenizer, None).special, min(n, MOST_BUCKETS)), "block string, bucket int, pieces binary"), "words")
+    encoded = words.repartition(n, "bucket").sortWithinPartitions("bucket").mapInArrow(_encode(tokenizer), "block string, bucket int, ids binary")
     schema = T.StructType([T.StructField("id", rows.schema["id"].dataType), T.StructField("ids", T.ArrayType(T.IntegerType()))])
     out = encoded.repartition(n, "block").sortWithinPartitions("block", "bucket").mapInArrow(_assemble(folder), schema)
     return out.select(F.col("id").alias(id_column), "ids")
@@ -141,7 +150,7 @@ def encode(docs: DataFrame, tokenizer: str, id_column: str = "doc_id", text_colu
 
 def vocabulary(tokenizer: str) -> list[bytes]:
     """Bytes of every id's piece; the table's size is the tokenizer's, whatever the corpus."""
-    encoder = cut.encoder(tokenizer, CACHE)
+    encoder = cut.encoder(tokenizer, None)
     back = {ord(c): b for b, c in cut._stands_for().items()}
     special = {i: name for name, i in encoder.special.items()}
     size = encoder.tokenizer.get_vocab_size(with_added_tokens=True)

@@ -165,16 +165,16 @@ def split(array: pa.Array, special: dict[bytes, int] | None = None) -> tuple[pa.
 
 
 class Encoder:
-    """Ids of distinct pieces by the tokenizers library; keeps up to cache pieces' ids for later batches."""
+    """Ids of distinct pieces by the tokenizers library; keeps up to cache pieces' ids for later batches (None: all)."""
 
-    def __init__(self, path: str, cache: int):
+    def __init__(self, path: str, cache: int | None):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.model = self.tokenizer.model
         self.special = {t.content.encode(): i for i, t in self.tokenizer.get_added_tokens_decoder().items() if t.special}
         self.known: dict[bytes, bytes] = {}
-        self.cache = cache
+        self.cache = sys.maxsize if cache is None else cache
 
     def ids(self, pieces: list[bytes]) -> list[bytes]:
         """For each piece its ids as little-endian unsigned 32-bit integers."""
@@ -202,10 +202,10 @@ class Encoder:
             known[p] = array("I", [t.id for t in tokenize(stood)]).tobytes()
 
 
-_encoders: dict[tuple[str, int], Encoder] = {}
+_encoders: dict[tuple[str, int | None], Encoder] = {}
 
 
-def encoder(path: str, cache: int = 1_200_000) -> Encoder:
+def encoder(path: str, cache: int | None = 1_200_000) -> Encoder:
     """This worker's encoder: made once, used by all its tasks."""
     if (path, cache) not in _encoders:
         _encoders[path, cache] = Encoder(path, cache)

@@ -10,10 +10,10 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators.tables import keep, shared_folder
+from ..operators.tables import keep, scratch, shared_folder
 from ..workers import ship
 
-__all__ = ["blocks", "bounded", "cut_spans", "filesystem", "held_out", "keep", "labelled_sample", "local_uri", "prepare", "shared_folder", "slices", "texts"]
+__all__ = ["blocks", "bounded", "cut_spans", "filesystem", "held_out", "keep", "labelled_sample", "prepare", "scratch", "shared_folder", "slices", "texts"]
 
 #: Texts of at most this many bytes are worked on at a time, however many rows a batch of Spark's has.
 BATCH_BYTES = 6 << 20
@@ -32,15 +32,14 @@ def prepare(spark: SparkSession) -> None:
 
 
 def filesystem(uri: str):
-    """pyarrow's file system and path for a folder that may or may not carry a scheme."""
+    """pyarrow's file system and path for an address of shared_folder(), which always has a scheme."""
     from pyarrow import fs
 
-    return fs.FileSystem.from_uri(uri) if "://" in uri or uri.startswith("file:") else (fs.LocalFileSystem(), os.path.abspath(uri))
-
-
-def local_uri(uri: str) -> str:
-    """file:/x and file:///x alike."""
-    return "file:///" + uri[5:].lstrip("/") if uri.startswith("file:") else uri
+    if uri.startswith("file:"):
+        uri = "file:///" + uri[5:].lstrip("/")
+    elif uri.startswith(("s3a://", "s3n://")):
+        uri = "s3://" + uri[6:]
+    return fs.FileSystem.from_uri(uri)
 
 
 def slices(batch: pa.RecordBatch, column: str, limit: int = BATCH_BYTES) -> Iterator[pa.RecordBatch]:

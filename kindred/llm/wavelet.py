@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import pieces as cut
-from .shared import BATCH_BYTES, blocks, filesystem, keep, local_uri, prepare
+from .shared import BATCH_BYTES, blocks, filesystem, keep, prepare
 
 SHARD_TOKENS = 1 << 20
 #: Bits in a block of a plane.
@@ -167,7 +167,7 @@ def _write(folder: str, tokenizer: str, end: int):
 
         encoder = cut.encoder(tokenizer)
         bits = max(1, max(end, encoder.tokenizer.get_vocab_size(with_added_tokens=True) - 1).bit_length())
-        fs, root = filesystem(local_uri(folder))
+        fs, root = filesystem(folder)
         fs.create_dir(root, recursive=True)
         partition, number = TaskContext.get().partitionId(), 0
         ids, sizes, names = [], [], []
@@ -222,7 +222,7 @@ def write(docs: DataFrame, folder: str, tokenizer: str, end: int, id_column: str
 
 def _read(folder: str, kind: pa.DataType):
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        fs, root = filesystem(local_uri(folder))
+        fs, root = filesystem(folder)
         for batch in batches:
             for file, start in zip(batch.column("file").to_pylist(), batch.column("start").to_pylist(), strict=True):
                 with fs.open_input_stream(f"{root}/{file}") as source:

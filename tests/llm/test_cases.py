@@ -75,6 +75,23 @@ def test_classes_are_those_of_the_library(path):
             assert min(table_[c], pieces.SPACE) == kind, hex(c)
 
 
+def test_each_piece_is_encoded_once(spark, path, monkeypatch):
+    """Blocks that share their pieces: the tasks of the buckets encode the table's distinct pieces, each once."""
+    folder = f"{shared_folder(spark)}/codes"
+    own, met = pieces.Encoder(path, None), []
+    monkeypatch.setattr(own, "_learn", lambda new: (met.extend(new), pieces.Encoder._learn(own, new)))
+    monkeypatch.setattr(bpe.cut, "encoder", lambda *_: own)
+    random.seed(2)
+    words = [f" w{k}" for k in range(3000)]
+    tables = [pa.table({"id": [k], "text": ["".join(random.choices(words, k=4000))]}) for k in range(6)]
+    lists = [row for t in tables for b in bpe._split(folder, {}, 4)(t.to_batches()) for row in b.to_pylist()]
+    for bucket in range(4):
+        batches = pa.Table.from_pylist([r for r in lists if r["bucket"] == bucket]).to_batches(max_chunksize=2)
+        assert sum(b.num_rows for b in bpe._encode(path)(batches)) == 6
+    distinct = set(pieces.split(pa.array([t.column("text")[0].as_py() for t in tables]))[0].dictionary.to_pylist())
+    assert len(met) == len(set(met)) == len(distinct) > 2500 and set(met) == distinct
+
+
 def test_bpe_round_trip(docs, none, path):
     got = sorted((r["doc_id"] if r["doc_id"] is not None else -1, r["decoded"]) for r in bpe.decode(bpe.encode(docs, path), path).collect())
     assert got == sorted((r["doc_id"] if r["doc_id"] is not None else -1, r["text"] or "") for r in docs.collect())
