@@ -52,7 +52,7 @@ def op5_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    cleaned = repeats.remove(table(spark, sf_dir, "documents"))
+    cleaned = repeats.remove(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return cleaned.select("doc_id", "text", F.size("removed").alias("n_removed"), "removed")
 
 

@@ -1,16 +1,22 @@
-"""Substring deduplication by hashed lines, sentences and clauses.
-
-A unit is a sentence of least_words words at least within a line, or as many shorter ones in a row, between such
-sentences and the line's ends, as make up least_words words; what is left of a row goes with the unit before it, or else
-after it. A line of fewer words is a unit by itself, so repeated short lines, and passages laid out in them, are found.
-Sentences of over long_words words are cut once more, after words that their own hash picks. So a passage in the middle of a line falls into the same units wherever it stands,
-but for its ends: each longer sentence sets the units right again. Units are normalised (lower case, single blanks) and
+"""Substring deduplication by hashed lines and the sentences within them.
+
+Every line is covered by units, so a line that was met before goes whole, however short it is. A unit is a sentence of
+least_words words at least, or as many shorter ones in a row, between such sentences and the line's ends, as make up
+least_words words; what is left of a row goes with the unit before it, or else after it. A line of fewer words is one
+unit. Sentences of over long_words words are cut once more, after words that their own hash picks. What a line's units
+are depends on its words alone, and each longer sentence sets them right again: so a passage in the middle of a line
+falls into the same units wherever it stands, but for its ends. Units are normalised (lower case, single blanks) and
 their 128-bit digests grouped over all documents.
 The occurrence of least rank (document id, then offset) stays; all others are cut out, and their offsets in the original
 text are kept.
 
-Defined cases: a null text stays null; a line without words is no unit; rows that agree in both id and text count as one
-document and are treated alike; rows without an id rank first; empty tables stay empty.
+A digest that a third of all lines share is one row a task after partial aggregation; in the join that brings it back
+to its occurrences their side is split by Spark's skew join, as only one row is on the other.
+
+Defined cases: a null text stays null; a line without words is no unit; a text of any length is cut whole, its spans
+are one row's list; rows that agree in both id and text count as one document and are treated alike; rows without an id
+rank first, by a hash of their text; a column of the input that has the name of the spans' gives way to them, any other
+is carried past unread; empty tables stay empty.
 """
 
 from __future__ import annotations
@@ -26,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .shared import cut_spans, keep, prepare, texts
+from .shared import cut_spans, keep, prepare, scratch, texts
 
 LEAST_WORDS = 8
 #: A sentence of more words than this may be cut without an end.
@@ -99,22 +105,24 @@ def _units(least: int, long: int):
 
 
 def repeated(docs: DataFrame, least_words: int = LEAST_WORDS, long_words: int = LONG_WORDS, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
-    """(id, mark, spans): what goes from each document, as byte offsets; mark is a hash of the text."""
-    prepare(docs.sparkSession)
+    """(id, mark, spans): what goes from each document, as byte offsets; mark is a hash of the text. Kept."""
+    spark = docs.sparkSession
+    prepare(spark)
     rows = docs.select(F.col(id_column).alias("id"), F.xxhash64(text_column).alias("mark"), F.col(text_column).alias("text"))
     fields = [("high", T.LongType()), ("low", T.LongType()), ("id", rows.schema["id"].dataType), ("mark", T.LongType()), ("start", T.IntegerType()), ("stop", T.IntegerType())]
-    found = keep(rows.mapInArrow(_units(least_words, long_words), T.StructType([T.StructField(*f) for f in fields])), "units")
-    rank = F.struct("id", "mark", "start")
-    first = found.groupBy("high", "low").agg(F.min(rank).alias("first"), F.max(rank).alias("last")).filter("first < last").select("high", "low", "first")
-    later = found.join(first, ["high", "low"]).filter(rank > F.col("first"))
-    return later.groupBy("id", "mark").agg(F.array_sort(F.collect_set(F.struct("start", "stop"))).alias("spans"))
+    with scratch(spark) as held:
+        found = held(rows.mapInArrow(_units(least_words, long_words), T.StructType([T.StructField(*f) for f in fields])), "units")
+        rank = F.struct("id", "mark", "start")
+        first = found.groupBy("high", "low").agg(F.min(rank).alias("first"), F.max(rank).alias("last")).filter("first < last").select("high", "low", "first")
+        later = found.join(first, ["high", "low"]).filter(rank > F.col("first"))
+        return keep(later.groupBy("id", "mark").agg(F.array_sort(F.collect_set(F.struct("start", "stop"))).alias("spans")), "spans")
 
 
 def remove(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", spans_column: str | None = "removed", **options) -> DataFrame:
     """docs with repeated units cut out of their texts; spans_column, unless None, is one more: array<struct<start,stop>>."""
     gone = repeated(docs, id_column=id_column, text_column=text_column, **options)
-    names = docs.columns
-    left = docs.select(F.struct(*(docs[c] for c in names)).alias("doc"), F.col(id_column).alias("id"), F.xxhash64(text_column).alias("mark"))
+    names = [c for c in docs.columns if c != spans_column]
+    left = docs.select(F.struct(*(docs[c] for c in names)).alias("doc"), docs[id_column].alias("id"), F.xxhash64(docs[text_column]).alias("mark"))
     joined = left.join(gone.withColumnRenamed("id", "of").withColumnRenamed("mark", "of_mark"), F.col("id").eqNullSafe(F.col("of")) & (F.col("mark") == F.col("of_mark")), "left")
     spans = F.coalesce("spans", F.expr("cast(array() as array<struct<start:int,stop:int>>)"))
     text = F.col("doc")[text_column]

@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .components import components
-from .shared import keep, prepare, texts
+from .shared import keep, prepare, scratch, texts
 
 LOWER = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
 BITS = 64
@@ -243,17 +243,17 @@ def sample_links(classes: DataFrame, least: float) -> DataFrame:
     return links_within(met, classes.select(F.col("shape").alias("node"), F.col("sketch").alias("value")), lambda x: near_sketches(x, least), BLOCK_ROWS)
 
 
-def class_ball_links(classes: DataFrame, radius: int) -> DataFrame:
+def class_ball_links(classes: DataFrame, radius: int, held: Callable) -> DataFrame:
     """ball_links() between classes of texts, and links between those of one fingerprint."""
-    anchors = keep(classes.groupBy("fingerprint").agg(F.min("shape").alias("anchor")), "anchors")
+    anchors = held(classes.groupBy("fingerprint").agg(F.min("shape").alias("anchor")), "anchors")
     same = classes.join(anchors, "fingerprint").filter("shape != anchor").select(F.col("anchor").alias("a"), F.col("shape").alias("b"))
     x, y = (anchors.select(F.col("fingerprint").alias(c), F.col("anchor").alias(f"of_{c}")) for c in "ab")
     return ball_links(anchors, radius).join(x, "a").join(y, "b").select(F.col("of_a").alias("a"), F.col("of_b").alias("b")).union(same)
 
 
-def _with_components(found: DataFrame, firsts: DataFrame, links: DataFrame, id_column: str, node: str = "fingerprint") -> DataFrame:
+def _with_components(found: DataFrame, firsts: DataFrame, links: DataFrame, held: Callable, id_column: str, node: str = "fingerprint") -> DataFrame:
     labels = components(links).withColumnRenamed("node", node)
-    rooted = keep(firsts.join(labels, node, "left").select(node, "first", F.coalesce("root", node).alias("root")), "rooted")
+    rooted = held(firsts.join(labels, node, "left").select(node, "first", F.coalesce("root", node).alias("root")), "rooted")
     least = rooted.groupBy("root").agg(F.min("first").alias("component_id"))
     of = rooted.join(least, "root").select(node, "component_id")
     return found.join(of, node).select(F.col("id").alias(id_column), "fingerprint", "component_id")
@@ -261,9 +261,10 @@ def _with_components(found: DataFrame, firsts: DataFrame, links: DataFrame, id_c
 
 def link(docs: DataFrame, words: int = 3, radius: int = 2, seed: int = 42, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """(id, fingerprint long, component_id): components under links of at most radius differing bits."""
-    found = keep(fingerprints(docs, words, seed, id_column=id_column, text_column=text_column), "fingerprints")
-    firsts = keep(found.groupBy("fingerprint").agg(F.min("id").alias("first")), "firsts")
-    return _with_components(found, firsts, ball_links(firsts, radius), id_column)
+    with scratch(docs.sparkSession) as held:
+        found = held(fingerprints(docs, words, seed, id_column=id_column, text_column=text_column), "fingerprints")
+        firsts = held(found.groupBy("fingerprint").agg(F.min("id").alias("first")), "firsts")
+        return keep(_with_components(found, firsts, ball_links(firsts, radius), held, id_column), "linked")
 
 
 def near_duplicates(docs: DataFrame, words: int = 5, similarity: float = 0.8, radius: int = 2, tables: int = 12, size: int = 4, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
@@ -272,17 +273,18 @@ def near_duplicates(docs: DataFrame, words: int = 5, similarity: float = 0.8, ra
     Candidates are those within radius bits, and all that share a sampled SimHash and whose sketches agree in MARGIN less
     than similarity. They only make groups; within a group the shingles themselves decide, for all pairs.
     """
-    found = keep(fingerprints(docs, words, tables=tables, size=size, id_column=id_column, text_column=text_column), "sketches")
-    # Equal shapes are equal in all of these; the shingles themselves are left where they lie.
-    of = [F.any_value(c).alias(c) for c in ("fingerprint", "samples", "sketch", "weight")]
-    classes = keep(found.groupBy("shape").agg(F.min("id").alias("first"), *of), "classes")
-    links = class_ball_links(classes, radius).union(sample_links(classes, similarity - MARGIN))
-    labels = components(links)
-    groups = keep(labels.union(labels.select("root", "root")).distinct(), "groups")
-    rows = groups.join(classes, F.col("node") == F.col("shape")).select(F.col("root").alias("group"), "node", "weight")
-    sets = found.join(groups, F.col("node") == F.col("shape"), "left_semi").groupBy(F.col("shape").alias("node")).agg(F.any_value("shingles").alias("value"))
-    same = links_within(rows, sets, lambda x: near_sets(x, similarity), BLOCK_SHINGLES)
-    return _with_components(found.select("id", "fingerprint", "shape"), classes.select("shape", "first"), keep(same, "links"), id_column, "shape")
+    with scratch(docs.sparkSession) as held:
+        found = held(fingerprints(docs, words, tables=tables, size=size, id_column=id_column, text_column=text_column), "sketches")
+        # Equal shapes are equal in all of these; the shingles themselves are left where they lie.
+        of = [F.any_value(c).alias(c) for c in ("fingerprint", "samples", "sketch", "weight")]
+        classes = held(found.groupBy("shape").agg(F.min("id").alias("first"), *of), "classes")
+        links = class_ball_links(classes, radius, held).union(sample_links(classes, similarity - MARGIN))
+        labels = components(links)
+        groups = held(labels.union(labels.select("root", "root")).distinct(), "groups")
+        rows = groups.join(classes, F.col("node") == F.col("shape")).select(F.col("root").alias("group"), "node", "weight")
+        sets = found.join(groups, F.col("node") == F.col("shape"), "left_semi").groupBy(F.col("shape").alias("node")).agg(F.any_value("shingles").alias("value"))
+        same = links_within(rows, sets, lambda x: near_sets(x, similarity), BLOCK_SHINGLES)
+        return keep(_with_components(found.select("id", "fingerprint", "shape"), classes.select("shape", "first"), held(same, "links"), held, id_column, "shape"), "near")
 
 
 def deduplicate(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", **options) -> DataFrame:
