@@ -54,30 +54,55 @@ def metaphone(word: str) -> str:
     if re.match("AE|GN|KN|PN|WR", w):
         w = w[1:]
     w = re.sub("^WH", "W", re.sub("^X", "S", w))
-    for pattern, to in (("MB$", "M"), ("SCH", "SK"), ("TCH", "CH"), ("CIA|CH", "X"), ("C(?=[IEY])", "S"), ("C", "K"), ("DG(?=[EIY])", "J"), ("D", "T"), ("GH(?=[^AEIOU]|$)", ""), ("GN(ED)?$", "N"), ("G(?=[EIY])", "J"), ("G", "K"), ("(?<=[CSPTG])H", "h"), ("H(?![AEIOU])", ""), ("PH|Ph", "F"), ("Q", "K"), ("SH|Sh|S(?=IO|IA)", "X"), ("T(?=IA|IO)", "X"), ("TH|Th", "0"), ("V", "F"), ("[WY](?![AEIOU])", ""), ("X(?=.)(?<!^)(?<=[AEIOU]X)", "KS"), ("Z", "S"), ("h", "")):
+    for pattern, to in (("MB$", "M"), ("SCH", "SK"), ("TCH", "CH"), ("CIA|CH", "X"), ("C(?=[IEY])", "S"), ("CK", "K"), ("C", "K"), ("DG(?=[EIY])", "J"), ("D", "T"), ("GH(?=[^AEIOU]|$)", ""), ("GN(ED)?$", "N"), ("G(?=[EIY])", "J"), ("G", "K"), ("(?<=[CSPTG])H", "h"), ("H(?![AEIOU])", ""), ("PH|Ph", "F"), ("Q", "K"), ("SH|Sh|S(?=IO|IA)", "X"), ("T(?=IA|IO)", "X"), ("TH|Th", "0"), ("V", "F"), ("[WY](?![AEIOU])", ""), ("X(?=.)(?<!^)(?<=[AEIOU]X)", "KS"), ("Z", "S"), ("h", "")):
         w = re.sub(pattern, to, w)
-    return re.sub(r"(.)\1+", r"\1", w[:1] + re.sub("[AEIOU]", "", w[1:]))
+    return w[:1] + re.sub("[AEIOU]", "", w[1:])
+
+
+_VOWELS = frozenset("AEIOU")
+_NYSIIS_FIRST = (("MAC", "MCC"), ("KN", "N"), ("K", "C"), ("PH", "FF"), ("PF", "FF"), ("SCH", "SSS"))
+_NYSIIS_LAST = (("EE", "Y"), ("IE", "Y"), *((x, "D") for x in ("DT", "RT", "RD", "NT", "ND")))
+_NYSIIS_LETTER = {"Q": "G", "Z": "S", "M": "N", "K": "C"} | dict.fromkeys("AEIOU", "A")
 
 
 def nysiis(word: str) -> str:
+    """The New York system's code, of any length."""
     w = re.sub("[^A-Z]", "", word.upper())
     if not w:
         return ""
-    for pattern, to in (("^MAC", "MCC"), ("^KN", "NN"), ("^K", "C"), ("^P[HF]", "FF"), ("^SCH", "SSS"), ("(EE|IE)$", "Y"), ("(DT|RT|RD|NT|ND)$", "D")):
-        w = re.sub(pattern, to, w)
-    first, rest = w[0], w[1:]
-    for pattern, to in (("EV", "AF"), ("[AEIOU]", "A"), ("Q", "G"), ("Z", "S"), ("M", "N"), ("KN", "N"), ("K", "C"), ("SCH", "SSS"), ("PH", "FF"), ("(?<=[^A])H|H(?=[^A]|$)", ""), ("(?<=A)W", "")):
-        rest = re.sub(pattern, to, rest)
-    out = first + re.sub(r"(.)\1+", r"\1", rest)
-    out = out[0] + re.sub(r"A$", "", re.sub(r"AY$", "Y", re.sub(r"S$", "", out[1:])))
-    return re.sub(r"(.)\1+", r"\1", out)
+    w = next((to + w[len(x) :] for x, to in _NYSIIS_FIRST if w.startswith(x)), w)
+    w = next((w[: -len(x)] + to for x, to in _NYSIIS_LAST if w.endswith(x)), w)
+    code, i = w[0], 1
+    while i < len(w):
+        before, now, after = w[i - 1], w[i], w[i + 1 : i + 2]
+        size, to = 1, _NYSIIS_LETTER.get(now, now)
+        if w.startswith("EV", i):
+            size, to = 2, "AF"
+        elif w.startswith("SCH", i):
+            size, to = 3, "SS"
+        elif w.startswith("PH", i):
+            size, to = 2, "F"
+        elif w.startswith("KN", i):
+            to = "N"
+        elif now == "H" and not (before in _VOWELS and after in _VOWELS and after):
+            to = "A" if before in _VOWELS else before
+        elif now == "W" and before in _VOWELS:
+            to = "A"
+        # What repeats the code's last letter is left out.
+        code += "" if to[-1] == code[-1] else to
+        i += size
+    if len(code) > 1:
+        code = code.removesuffix("S")
+    if code.endswith("AY"):
+        code = code[:-2] + "Y"
+    return code[:-1] if len(code) > 1 and code.endswith("A") else code
 
 
 def match_rating(word: str) -> str:
-    """Codex: vowels but a leading one dropped, doubles folded, the first and last three letters."""
+    """Codex: no vowels but a leading one, no letter right after itself, the first and last three of what is left."""
     w = re.sub("[^A-Z]", "", word.upper())
-    w = re.sub(r"(.)\1+", r"\1", w[:1] + re.sub("[AEIOU]", "", w[1:]))
-    return w if len(w) <= 6 else w[:3] + w[-3:]
+    kept = "".join(x for i, x in enumerate(w) if (i == 0 or x not in _VOWELS) and x != w[i - 1 : i])
+    return kept if len(kept) <= 6 else kept[:3] + kept[-3:]
 
 
 def _each(values: pd.Series, f: Callable[[str], object]) -> pd.Series:

@@ -6,7 +6,7 @@ import hashlib
 from dataclasses import dataclass, field
 from itertools import combinations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import canonical_json
@@ -179,3 +179,15 @@ class Export:
 
     def sha256(self) -> str:
         return hashlib.sha256(self.text().encode()).hexdigest()
+
+    def write(self, spark: SparkSession, folder: str) -> str:
+        """The configuration as a JSON file named after its digest; equal configurations share a file. Its address."""
+        from .tables import hadoop_path
+
+        path, system = hadoop_path(spark, f"{folder.rstrip('/')}/config-{self.sha256()[:16]}.json")
+        out = system.create(path, True)
+        try:
+            out.write(bytearray(self.text().encode()))
+        finally:
+            out.close()
+        return path.toString()

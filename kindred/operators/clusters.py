@@ -150,14 +150,25 @@ def analyse(keys: list, scores: dict, confirmed: set, coherence_: float = 0.5) -
     return {"status": "queue", "reason": "low_coherence" if mean < coherence_ else "bridge_no_clean_split"}
 
 
+def _coherent(sizes: DataFrame, members: DataFrame, edges: DataFrame, coherence_: float) -> DataFrame:
+    """sizes (cluster_id, size) with status and reason: ok, or queued."""
+    inside = intra_edges(members.join(sizes, "cluster_id", "left_semi"), edges).groupBy("cluster_id").agg(F.count("*").alias("n"), F.avg("similarity").alias("mean"), F.min("similarity").alias("low"))
+    met = sizes.join(inside, "cluster_id", "left")
+    whole = F.col("n") >= F.col("size") * (F.col("size") - 1) / 2
+    fine = (F.col("mean") >= coherence_) & ((F.col("low") >= 0.5 * F.col("mean")) | whole)
+    reason = F.when(F.col("n").isNull(), "no_intra_edges").when(fine, "").otherwise("too_large")
+    return met.select("cluster_id", F.when(F.col("n").isNotNull() & fine, "ok").otherwise("queue").alias("status"), reason.alias("reason"))
+
+
 def repair(members: DataFrame, edges: DataFrame, coherence_: float = 0.5, most: int = 1000) -> DataFrame:
     """(cluster_id, status, reason, cut_src, cut_dst, half_a, half_b) of every cluster.
 
-    Clusters larger than most are queued unread: trying every weak edge is for a reviewer's sizes, and no task is
-    handed a cluster of unbounded size.
+    Whether a cluster is coherent is an aggregation, whatever its size. Trying the weak edges of one that is not is for
+    a reviewer's sizes: such clusters of more than most members are queued as too_large, and no task is handed a cluster
+    of unbounded size.
     """
     sizes = members.groupBy("cluster_id").agg(F.count("*").alias("size"))
-    large = sizes.filter(F.col("size") > most).select("cluster_id", F.lit("queue").alias("status"), F.lit("too_large").alias("reason"), *(F.lit(None).cast("string").alias(c) for c in ("cut_src", "cut_dst")), *(F.lit(None).cast("array<string>").alias(c) for c in ("half_a", "half_b")))
+    large = _coherent(sizes.filter(F.col("size") > most), members, edges, coherence_).select("cluster_id", "status", "reason", *(F.lit(None).cast("string").alias(c) for c in ("cut_src", "cut_dst")), *(F.lit(None).cast("array<string>").alias(c) for c in ("half_a", "half_b")))
     small = members.join(sizes.filter(F.col("size") <= most), "cluster_id", "left_semi")
     inside = intra_edges(small, edges)
     flags = edges.select(F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst"), F.coalesce("confirmed", F.lit(False)).alias("confirmed")).groupBy("src", "dst").agg(F.bool_or("confirmed").alias("confirmed"))

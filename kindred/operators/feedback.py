@@ -2,9 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Callable
+from dataclasses import dataclass
+
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import learning, scoring
+from .tables import keep
+
 
 def statistics(verdicts: DataFrame) -> DataFrame:
     """(decision, n, avg_score, avg_confidence)."""
@@ -51,3 +57,43 @@ def upsert(table: DataFrame, rows: DataFrame, key: str) -> DataFrame:
 def result_check(expected: int, actual: DataFrame) -> DataFrame:
     """One row: whether as many rows came as were expected; nothing expected always passes."""
     return actual.agg(F.count("*").alias("actual")).select(F.lit(expected).cast("long").alias("expected"), "actual", ((F.lit(expected) == 0) | (F.col("actual") == expected)).alias("passes"))
+
+
+@dataclass
+class AdaptiveVerifier:
+    """verification_band() whose band follows the verdicts: after every so many new ones it is learnt anew from all.
+
+    What a model decided (match or no_match) is appended to the table at path; failures and scores outside the band are
+    not. A band learnt from too few verdicts is not taken over.
+    """
+
+    spark: SparkSession
+    path: str
+    every: int = 50
+    low: float = 0.6
+    high: float = 0.85
+    since: int = 0
+
+    def review(self, scored: DataFrame, verdicts: Callable[[DataFrame], DataFrame], budget: int | None = None, timestamp: str = "") -> DataFrame:
+        said: list[DataFrame] = []
+
+        def once(asked: DataFrame) -> DataFrame:
+            said.append(keep(verdicts(asked), "verdicts"))
+            return said[0]
+
+        found = scoring.verification_band(scored, once, self.low, self.high, budget)
+        decided = said[0].filter(F.col("verdict").isin("match", "no_match")).join(scored.select("doc1_key", "doc2_key", "score"), ["doc1_key", "doc2_key"])
+        new = keep(decided.select("doc1_key", "doc2_key", "score", F.col("verdict").alias("decision"), "confidence", F.lit("llm").alias("source"), F.lit(timestamp).alias("created_at")), "decided")
+        new.write.mode("append").parquet(self.path)
+        self.since += new.count()
+        if self.since >= self.every:
+            self.refresh()
+        return found
+
+    def refresh(self) -> bool:
+        """Whether the band was learnt anew."""
+        self.since = 0
+        row = learning.thresholds_by_rank(self.spark.read.parquet(self.path)).first()
+        if row["optimized"]:
+            self.low, self.high = row["low_threshold"], row["high_threshold"]
+        return row["optimized"]

@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+#: Words for streets, long and short.
+_STREETS = tuple(w for pair in ("road rd", "lane ln", "drive dr", "court ct", "place pl", "street st", "avenue ave", "boulevard blvd", "way") for w in pair.split())
 #: What the values of a semantic type look like.
 PATTERNS = {
     "email": r"^[^@\s]+@[^@\s]+\.[^@\s]+$",
@@ -14,7 +16,7 @@ PATTERNS = {
     "phone": r"^[+(]?[0-9][0-9\s().-]{6,}$",
     "numeric": r"^-?[0-9]+([.][0-9]+)?$",
     "org": r"(?i)\b(inc|incorporated|llc|ltd|corp|corporation|co|company|gmbh|plc|sa|ag|nv)\b",
-    "street": r"(?i)\b(st|street|ave|avenue|rd|road|blvd|ln|lane|dr|drive|ct|court|way|pl|place)\b",
+    "street": rf"(?i)\b({'|'.join(_STREETS)})\b",
     "digit": "[0-9]",
     "alpha": r"^[A-Za-z]+( [A-Za-z]+)*$",
 }

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.names import jaro_winkler_similarity
+from .search import pair_scores, postings
 from .tables import keep, scratch
 
 
@@ -45,25 +46,32 @@ def resolve_chains(mapping: DataFrame, most: int = 100) -> DataFrame:
     return met.select("entity", F.when(status == "ok", F.col("final")).alias("final"), F.when(status != "cycle", F.col("hops")).alias("hops"), status.alias("status"))
 
 
-def link_names(extracted: DataFrame, entities: DataFrame, threshold: float = 0.7, letters: int = 2) -> DataFrame:
+def link_names(extracted: DataFrame, entities: DataFrame, threshold: float = 0.7, letters: int = 2, most: int | None = None) -> DataFrame:
     """(mention_id, entity_key, similarity): each name's best entity by Jaro-Winkler of lower-case names.
 
-    Names meet by their first letters or by a shared word, in place of comparing all with all. Of equal scores the least
-    key is taken.
+    Names meet by their first letters or by a shared word, in place of comparing all with all; what differs in both is
+    not linked (tests measure how seldom that is). With most, a word or beginning that more entities share is a key only
+    together with the first letters of the name's end. Of equal scores the least key is taken.
     """
     m = extracted.select("mention_id", F.lower(F.trim("name")).alias("name"))
     e = entities.select("entity_key", F.lower(F.trim("name")).alias("known"))
     keys = lambda c: F.array_distinct(F.concat(F.array(F.concat(F.lit("^"), F.substring(c, 1, letters))), F.split(c, r"\s+")))
-    met = m.withColumn("k", F.explode(keys(F.col("name")))).join(e.withColumn("k", F.explode(keys(F.col("known")))), "k").select("mention_id", "name", "entity_key", "known").distinct()
+    a, b = m.withColumn("k", F.explode(keys(F.col("name")))), e.withColumn("k", F.explode(keys(F.col("known"))))
+    if most is not None:
+        crowded = b.groupBy("k").agg(F.count("*").alias("n")).filter(F.col("n") > most).select("k", F.lit(True).alias("crowded"))
+        a, b = (d.join(crowded, "k", "left").withColumn("k", F.when(F.col("crowded"), F.concat("k", F.lit(" "), F.substring(F.element_at(F.split(c, r"\s+"), -1), 1, letters))).otherwise(F.col("k"))).drop("crowded") for d, c in ((a, "name"), (b, "known")))
+    met = a.join(b, "k").select("mention_id", "name", "entity_key", "known").distinct()
     scored = met.withColumn("similarity", F.round(jaro_winkler_similarity(F.col("name"), F.col("known"), fold=False), 4)).filter(F.col("similarity") >= threshold)
     return scored.groupBy("mention_id").agg(F.min_by(F.struct("entity_key", "similarity"), F.struct(-F.col("similarity"), F.col("entity_key"))).alias("x")).select("mention_id", "x.entity_key", "x.similarity")
 
 
-def best_matches(source: DataFrame, target: DataFrame, blocks: dict[str, str], fields: dict[str, tuple[str, float]], source_key: str, target_key: str, threshold: float = 0.85, linked: DataFrame | None = None) -> DataFrame:
-    """(source_key, target_key, score): each unlinked source's best target among those of equal blocking values.
+def best_matches(source: DataFrame, target: DataFrame, blocks: dict[str, str], fields: dict[str, tuple[str, float]], source_key: str, target_key: str, threshold: float = 0.85, linked: DataFrame | None = None, bm25: tuple[str, str] | None = None, bm25_weight: float = 0.2) -> DataFrame:
+    """(source_key, target_key, score[, bm25, total]): each unlinked source's best target of equal blocking values.
 
     blocks: source column to target column. fields: source column to (target column, weight), compared by edit distance
-    of trimmed upper case. Of equal scores the least target key.
+    of trimmed upper case. With bm25 (source column, target column) the pairs above the threshold are ordered by
+    total = score * (1 - bm25_weight) + bm25 * bm25_weight, bm25 asked with the source's text among all targets', 0 where
+    no token is shared; else by score. Of equal ones the least target key.
     """
     from ..functions.text import levenshtein_similarity
 
@@ -74,7 +82,13 @@ def best_matches(source: DataFrame, target: DataFrame, blocks: dict[str, str], f
     total = sum(w for _, w in fields.values())
     score = sum((levenshtein_similarity(F.col(f"a{i}"), F.col(f"b{i}"), 0.0) * (w / total) for i, (_, w) in enumerate(fields.values())), F.lit(0.0))
     scored = a.join(b, [f"k{i}" for i in range(len(blocks))]).select("source_key", "target_key", F.round(score, 4).alias("score")).filter(F.col("score") >= threshold)
-    return scored.groupBy("source_key").agg(F.min_by(F.struct("target_key", "score"), F.struct(-F.col("score"), F.col("target_key"))).alias("x")).select("source_key", "x.target_key", "x.score")
+    if bm25 is None:
+        return scored.groupBy("source_key").agg(F.min_by(F.struct("target_key", "score"), F.struct(-F.col("score"), F.col("target_key"))).alias("x")).select("source_key", "x.target_key", "x.score")
+    scored = keep(scored, "scored")
+    found = pair_scores(scored.select(F.col("source_key").alias("doc1_key"), F.col("target_key").alias("doc2_key")), postings(left, bm25[0], source_key), postings(target, bm25[1], target_key))
+    met = scored.join(found.withColumnsRenamed({"doc1_key": "source_key", "doc2_key": "target_key"}), ["source_key", "target_key"], "left").withColumn("bm25", F.coalesce("bm25", F.lit(0.0)))
+    all_ = met.withColumn("total", F.round(F.col("score") * (1 - bm25_weight) + F.col("bm25") * bm25_weight, 4))
+    return all_.groupBy("source_key").agg(F.min_by(F.struct("target_key", "score", "bm25", "total"), F.struct(-F.col("total"), F.col("target_key"))).alias("x")).select("source_key", "x.*")
 
 
 def random_walks(edges: DataFrame, length: int = 10, walks: int = 5, seed: int = 42, src: str = "src", dst: str = "dst") -> DataFrame:

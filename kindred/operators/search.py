@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .filters import apply_filters
+
 K1, B = 1.2, 0.75
 
 
@@ -27,39 +29,50 @@ def bm25_scores(index: DataFrame, queries: DataFrame, corpus: DataFrame | None =
     return queries.join(scored, "token").groupBy("query_key", "doc_key").agg(F.sum("part").alias("bm25"))
 
 
-def phrase_pairs(docs: DataFrame, text: str, key: str, threshold: float = 2.0, limit: int = 20, block: str | None = None) -> DataFrame:
+def pair_scores(pairs: DataFrame, queries: DataFrame, index: DataFrame) -> DataFrame:
+    """(doc1_key, doc2_key, bm25) of given pairs: doc1 asks with its distinct tokens (k, token), doc2 is in the postings."""
+    wanted = pairs.join(queries.select(F.col("k").alias("doc1_key"), "token").distinct(), "doc1_key").join(index.select(F.col("k").alias("doc2_key"), "token", "tf", "size"), ["doc2_key", "token"])
+    frequency = index.groupBy("token").agg(F.count("*").alias("df"))
+    # One row of totals.
+    totals = index.select("k", "size").distinct().agg(F.count("*").alias("docs"), F.avg("size").alias("mean_size"))
+    idf = F.log(1 + (F.col("docs") - F.col("df") + 0.5) / (F.col("df") + 0.5))
+    part = idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("size") / F.col("mean_size")))
+    return wanted.join(frequency, "token").join(F.broadcast(totals)).groupBy("doc1_key", "doc2_key").agg(F.round(F.sum(part), 4).alias("bm25"))
+
+
+def phrase_pairs(docs: DataFrame, text: str, key: str, threshold: float = 2.0, limit: int | None = 20, block: str | None = None, filters: dict[str, dict] | None = None) -> DataFrame:
     """(doc1_key, doc2_key, bm25): doc2's text contains all of doc1's as a phrase, doc1's key is the lesser one.
 
     A phrase's rarest token is the join's key: whatever contains the phrase contains that token, and few documents do.
+    Keys, lengths and block values meet there; texts come to the pairs that are left. Filters hold for both sides; a
+    least length is exclusive here.
     """
+    docs = apply_filters(docs, filters or {}, strict_length=True)
     cleaned = F.concat(F.lit(" "), F.array_join(F.filter(F.split(F.lower(F.coalesce(text, F.lit(""))), r"[^a-z0-9_]+"), lambda w: w != ""), " "), F.lit(" "))
-    blocked = F.col(block) if block else F.lit(None).cast("string")
-    rows = docs.select(F.col(key).alias("k"), cleaned.alias("phrase"), blocked.alias("g"))
+    blocked = F.col(block).cast("string") if block else F.lit(None).cast("string")
     index = postings(docs, text, key)
     frequency = index.groupBy("token").agg(F.count("*").alias("df"))
-    rarest = index.join(frequency, "token").groupBy("k").agg(F.min_by("token", F.struct("df", "token")).alias("token"))
-    left = rows.join(rarest, "k").select(F.col("k").alias("doc1_key"), F.col("phrase").alias("p1"), F.col("g").alias("g1"), "token")
-    right = index.select("token", F.col("k").alias("doc2_key")).join(rows.select(F.col("k").alias("doc2_key"), F.col("phrase").alias("p2"), F.col("g").alias("g2")), "doc2_key")
-    met = left.join(right, "token").filter(F.col("doc1_key") < F.col("doc2_key")).filter(F.contains("p2", F.col("p1")))
-    if block:
-        met = met.filter(F.col("g1").eqNullSafe(F.col("g2")))
-    pairs = met.select("doc1_key", "doc2_key")
-    queries = index.select(F.col("k").alias("query_key"), "token")
-    wanted = pairs.join(queries.withColumnRenamed("query_key", "doc1_key"), "doc1_key").join(index.select(F.col("k").alias("doc2_key"), "token", "tf", "size"), ["doc2_key", "token"])
-    totals = index.select("k", "size").distinct().agg(F.count("*").alias("docs"), F.avg("size").alias("mean_size"))
-    idf = F.log(1 + (F.col("docs") - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    part = idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("size") / F.col("mean_size")))
-    scored = wanted.join(frequency, "token").join(F.broadcast(totals)).groupBy("doc1_key", "doc2_key").agg(F.round(F.sum(part), 4).alias("bm25")).filter(F.col("bm25") > threshold)
+    rarest = index.join(frequency, "token").groupBy("k").agg(F.min_by("token", F.struct("df", "token")).alias("token"), F.first("size").alias("size"))
+    groups = docs.select(F.col(key).alias("k"), blocked.alias("g"))
+    of = (lambda rows: rows.join(groups, "k")) if block else (lambda rows: rows.withColumn("g", F.lit(None).cast("string")))
+    left = of(rarest).select(F.col("k").alias("doc1_key"), F.col("size").alias("n1"), F.col("g").alias("g1"), "token")
+    right = of(index.join(rarest.select("token").distinct(), "token", "left_semi")).select(F.col("k").alias("doc2_key"), F.col("size").alias("n2"), F.col("g").alias("g2"), "token")
+    met = left.join(right, "token").filter((F.col("doc1_key") < F.col("doc2_key")) & (F.col("n1") <= F.col("n2")) & F.col("g1").eqNullSafe(F.col("g2"))).select("doc1_key", "doc2_key")
+    x, y = (docs.select(F.col(key).alias(f"doc{i}_key"), cleaned.alias(f"p{i}")) for i in (1, 2))
+    pairs = met.join(x, "doc1_key").join(y, "doc2_key").filter(F.contains("p2", F.col("p1"))).select("doc1_key", "doc2_key")
+    scored = pair_scores(pairs, index, index).filter(F.col("bm25") > threshold)
+    if limit is None:
+        return scored
     w = Window.partitionBy("doc1_key").orderBy(F.desc("bm25"), "doc2_key")
     return scored.withColumn("_r", F.row_number().over(w)).filter(F.col("_r") <= limit).drop("_r")
 
 
-def hybrid_pairs(docs: DataFrame, fields: dict[str, float], key: str, levenshtein_threshold: float = 0.85, bm25_threshold: float = 2.0, bm25_weight: float = 0.2, limit: int = 20, block: str | None = None) -> DataFrame:
+def hybrid_pairs(docs: DataFrame, fields: dict[str, float], key: str, levenshtein_threshold: float = 0.85, bm25_threshold: float = 2.0, bm25_weight: float = 0.2, limit: int = 20, block: str | None = None, filters: dict[str, dict] | None = None) -> DataFrame:
     """Phrase pairs on the first field whose weighted edit similarity over all fields is high enough, best first."""
     from ..functions.text import levenshtein_similarity
 
     first = next(iter(fields))
-    pairs = phrase_pairs(docs, first, key, bm25_threshold, 1 << 30, block)
+    pairs = phrase_pairs(docs, first, key, bm25_threshold, None, block, filters)
     shown = {f: F.upper(F.trim(F.coalesce(F.col(f).cast("string"), F.lit("")))) for f in fields}
     a = docs.select(F.col(key).alias("doc1_key"), *(c.alias(f"a_{f}") for f, c in shown.items()))
     b = docs.select(F.col(key).alias("doc2_key"), *(c.alias(f"b_{f}") for f, c in shown.items()))

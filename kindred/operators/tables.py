@@ -9,7 +9,7 @@ from contextlib import contextmanager
 from pyspark.sql import DataFrame, SparkSession
 
 
-def _hadoop_path(spark: SparkSession, path: str):
+def hadoop_path(spark: SparkSession, path: str):
     """Hadoop's path and file system: a path without a scheme lies where Spark itself would put it."""
     jvm = spark.sparkContext._jvm
     found = jvm.org.apache.hadoop.fs.Path(path)
@@ -30,11 +30,11 @@ def shared_folder(spark: SparkSession) -> str:
         if not spark.sparkContext.master.startswith("local"):
             raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         base = spark.conf.get("spark.sql.warehouse.dir", "spark-warehouse").rstrip("/") + "/checkpoints"
-    return f"{_hadoop_path(spark, base)[0].toString().rstrip('/')}/{uuid.uuid4().hex}"
+    return f"{hadoop_path(spark, base)[0].toString().rstrip('/')}/{uuid.uuid4().hex}"
 
 
 def remove_folder(spark: SparkSession, folder: str) -> None:
-    path, system = _hadoop_path(spark, folder)
+    path, system = hadoop_path(spark, folder)
     system.delete(path, True)
 
 

@@ -8,15 +8,17 @@ from pyspark.sql import functions as F
 
 from ..functions.numbers import cosine, dot, norm
 from .blocking import normalise_pairs
+from .filters import apply_filters
 
 
 def knn_pairs(docs: DataFrame, vector: str, key: str, threshold: float = 0.7, limit: int = 20, block: str | None = None) -> DataFrame:
     """(doc1_key, doc2_key, similarity): each document's limit best within its block, of threshold at least.
 
-    Exact, hence quadratic in a block: meant for blocked data; lsh_pairs() is for the whole.
+    Exact, hence quadratic in a block: block may not be left out, lsh_pairs() is for the whole.
     """
-    block_value = F.col(block) if block else F.lit(0)
-    rows = docs.filter(F.col(vector).isNotNull()).select(F.col(key).alias("k"), F.col(vector).alias("v"), block_value.alias("g"))
+    if block is None:
+        raise ValueError("knn_pairs compares all of a block: name one, or take lsh_pairs")
+    rows = docs.filter(F.col(vector).isNotNull()).select(F.col(key).alias("k"), F.col(vector).alias("v"), F.col(block).alias("g"))
     a, b = rows.alias("a"), rows.alias("b")
     met = a.join(b, F.col("a.g").eqNullSafe(F.col("b.g")) & (F.col("a.k") != F.col("b.k")))
     scored = met.select(F.col("a.k").alias("doc1_key"), F.col("b.k").alias("doc2_key"), F.round(cosine(F.col("a.v"), F.col("b.v")), 6).alias("similarity")).filter(F.col("similarity") >= threshold)
@@ -24,15 +26,24 @@ def knn_pairs(docs: DataFrame, vector: str, key: str, threshold: float = 0.7, li
     return scored.withColumn("_r", F.row_number().over(w)).filter(F.col("_r") <= limit).drop("_r")
 
 
-def nearest(docs: DataFrame, query: list[float], vector: str, key: str, threshold: float = 0.7, limit: int = 20, exclude: object = None) -> DataFrame:
-    """The limit best of one vector: a scan and a top-k."""
+def nearest(docs: DataFrame, query: list[float], vector: str, key: str, threshold: float = 0.7, limit: int = 20, exclude: object = None, filters: dict[str, dict] | None = None) -> DataFrame:
+    """The limit best of one vector: a scan and a top-k. Filters (equals, or in) leave the rows that count, before the limit."""
     q = F.array(*(F.lit(float(x)) for x in query))
-    scored = docs.filter(F.col(vector).isNotNull()).select(F.col(key).alias("doc_key"), F.round(cosine(F.col(vector), q), 6).alias("similarity")).filter(F.col("similarity") >= threshold)
+    usable = apply_filters(docs.filter(F.col(vector).isNotNull()), filters or {})
+    scored = usable.select(F.col(key).alias("doc_key"), F.round(cosine(F.col(vector), q), 6).alias("similarity")).filter(F.col("similarity") >= threshold)
     if exclude is not None:
         scored = scored.filter(F.col("doc_key") != F.lit(exclude))
     return scored.orderBy(F.desc("similarity"), "doc_key").limit(limit)
 
 
+def nearest_to(docs: DataFrame, of: object, vector: str, key: str, threshold: float = 0.7, limit: int = 20, exclude_self: bool = True, filters: dict[str, dict] | None = None) -> DataFrame:
+    """nearest() for the vector of the document whose key is of; KeyError if it has none. One row comes to the driver."""
+    row = docs.filter((F.col(key) == F.lit(of)) & F.col(vector).isNotNull()).select(vector).first()
+    if row is None:
+        raise KeyError(of)
+    return nearest(docs, list(row[0]), vector, key, threshold, limit, of if exclude_self else None, filters)
+
+
 def hyperplanes(tables: int, planes: int, dimension: int, seed: int = 42) -> np.ndarray:
     """tables x planes x dimension, unit rows; the same for the same seed."""
     rows = np.random.RandomState(seed).randn(tables * planes, dimension)
@@ -44,16 +55,25 @@ def signature(vector: Column, planes: np.ndarray) -> Column:
     return F.concat(*(F.when(dot(vector, F.array(*(F.lit(float(x)) for x in p))) >= 0, "1").otherwise("0") for p in planes))
 
 
-def lsh_pairs(docs: DataFrame, vector: str, key: str, tables: int = 10, planes: int = 8, seed: int = 42, dimension: int = 64, block: str | None = None, threshold: float | None = None) -> DataFrame:
+def planes_for(rows: int, bucket: int = 64) -> int:
+    """So many planes that a bucket of evenly spread vectors holds about bucket of them, however many rows there are."""
+    return max(4, min(40, (max(1, rows) // bucket).bit_length()))
+
+
+def lsh_pairs(docs: DataFrame, vector: str, key: str, tables: int = 10, planes: int | None = None, seed: int = 42, dimension: int = 64, block: str | None = None, threshold: float | None = None, most: int | None = None) -> DataFrame:
     """Pairs that share a signature in any table and a block value (null equals null), each once; with a threshold,
     those of at least that cosine.
 
-    Signatures are computed before vectors are dropped from the rows that meet, so the join moves keys alone.
+    Signatures are computed before vectors are dropped from the rows that meet, so the join moves keys alone. Without a
+    number of planes it follows from the rows' number. Buckets of more than most rows, where vectors are crowded, are
+    parted once more, by DEEPER planes of their own; bucket_sizes() tells how large they are.
     """
-    every = hyperplanes(tables, planes, dimension, seed)
-    block_value = F.col(block).cast("string") if block else F.lit(None).cast("string")
     usable = docs.filter(F.col(vector).isNotNull() & (norm(F.col(vector)) > 0))
-    signed = usable.select(F.col(key).alias("k"), block_value.alias("g"), F.posexplode(F.array(*(signature(F.col(vector), t) for t in every))).alias("t", "bits"))
+    signed = _signed(usable, vector, key, tables, planes, seed, dimension, block, most is not None)
+    if most is not None:
+        sizes = signed.groupBy("t", "bits", "g").agg(F.count("*").alias("n")).filter(F.col("n") > most).select(F.col("t").alias("_t"), F.col("bits").alias("_bits"), F.col("g").alias("_g"), F.lit(True).alias("crowded"))
+        met = signed.join(sizes, (F.col("t") == F.col("_t")) & (F.col("bits") == F.col("_bits")) & F.col("g").eqNullSafe(F.col("_g")), "left")
+        signed = met.select("k", "g", "t", F.when(F.col("crowded"), F.concat("bits", "deeper")).otherwise(F.col("bits")).alias("bits"))
     a, b = signed.alias("a"), signed.alias("b")
     met = a.join(b, (F.col("a.t") == F.col("b.t")) & (F.col("a.bits") == F.col("b.bits")) & F.col("a.g").eqNullSafe(F.col("b.g")) & (F.col("a.k") < F.col("b.k")))
     pairs = normalise_pairs(met.select(F.col("a.k").alias("doc1_key"), F.col("b.k").alias("doc2_key")))
@@ -64,6 +84,29 @@ def lsh_pairs(docs: DataFrame, vector: str, key: str, tables: int = 10, planes:
     return pairs.join(x, "doc1_key").join(y, "doc2_key").select("doc1_key", "doc2_key", F.round(cosine(F.col("x"), F.col("y")), 6).alias("similarity")).filter(F.col("similarity") >= threshold)
 
 
+#: Planes by which a crowded bucket is parted.
+DEEPER = 8
+
+
+def _signed(usable: DataFrame, vector: str, key: str, tables: int, planes: int | None, seed: int, dimension: int, block: str | None, deeper: bool) -> DataFrame:
+    """(k, g, t, bits[, deeper]): each row's signature in each table."""
+    n = planes or planes_for(usable.count())
+    block_value = F.col(block).cast("string") if block else F.lit(None).cast("string")
+    shown = [F.struct(signature(F.col(vector), t).alias("bits")) for t in hyperplanes(tables, n, dimension, seed)]
+    if deeper:
+        more = hyperplanes(tables, DEEPER, dimension, seed + 1)
+        shown = [F.struct(s["bits"].alias("bits"), signature(F.col(vector), t).alias("deeper")) for s, t in zip(shown, more, strict=True)]
+    return usable.select(F.col(key).alias("k"), block_value.alias("g"), F.posexplode(F.array(*shown)).alias("t", "x")).select("k", "g", "t", "x.*")
+
+
+def bucket_sizes(docs: DataFrame, vector: str, key: str, tables: int = 10, planes: int | None = None, seed: int = 42, dimension: int = 64, block: str | None = None) -> DataFrame:
+    """One row: buckets that lsh_pairs() would make, the largest, and the pairs of all, before anything meets."""
+    usable = docs.filter(F.col(vector).isNotNull() & (norm(F.col(vector)) > 0))
+    n = F.col("n")
+    sizes = _signed(usable, vector, key, tables, planes, seed, dimension, block, False).groupBy("t", "bits", "g").agg(F.count("*").alias("n"))
+    return sizes.agg(F.count("*").alias("buckets"), F.max("n").alias("largest"), F.sum((n * (n - 1) / 2).cast("long")).alias("pairs"))
+
+
 def coverage(docs: DataFrame, vector: str) -> DataFrame:
     """One row: documents, with and without a vector, share in percent, dimension."""
     has = F.count(vector)

@@ -87,14 +87,20 @@ def wcc_components_rounds(spark: SparkSession, sf_dir: str) -> DataFrame:
     return components.clusters(components.components(part_edges(spark, sf_dir), local_links=0))
 
 
-@query("""WITH e AS (SELECT 's' || l_suppkey AS u, 'o' || l_orderkey AS v FROM lineitem WHERE l_quantity >= 49) SELECT count(DISTINCT node) AS nodes, 1::BIGINT AS ok FROM (SELECT u AS node FROM e UNION ALL SELECT v FROM e)""")
+@query("""WITH o AS (SELECT DISTINCT l_orderkey AS k FROM lineitem), f AS (SELECT k, CASE WHEN k % 50 <> 0 AND lag(k) OVER (ORDER BY k) = k - 1 THEN 0 ELSE 1 END AS first FROM o),
+g AS (SELECT k, sum(first) OVER (ORDER BY k) AS g FROM f), r AS (SELECT k, min(k) OVER (PARTITION BY g) * 8 AS root FROM g),
+n AS (SELECT k, k * 8 AS node FROM o UNION SELECT l_orderkey, l_orderkey * 8 + l_linenumber FROM lineitem) SELECT root, count(*) AS size FROM n JOIN r USING (k) GROUP BY root""")
 def large_graph_components(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Suppliers and orders in one graph: its nodes, and whether no edge crosses two components."""
-    e = table(spark, sf_dir, "lineitem").filter("l_quantity >= 49").select(F.concat(F.lit("s"), F.col("l_suppkey")).alias("src"), F.concat(F.lit("o"), F.col("l_orderkey")).alias("dst"))
-    labels = components.components(e, local_links=0)
-    a, b = labels.select(F.col("node").alias("src"), F.col("root").alias("ra")), labels.select(F.col("node").alias("dst"), F.col("root").alias("rb"))
-    crossing = e.join(a, "src").join(b, "dst").agg(F.count_if(F.col("ra") != F.col("rb")).alias("x"))
-    return labels.agg(F.count("*").alias("nodes")).join(F.broadcast(crossing)).select("nodes", F.when(F.col("x") == 0, 1).otherwise(0).cast("long").alias("ok"))
+    """Every line linked to its order, every order to the one before it within fifty: the components, by rounds of joins.
+
+    Their roots and sizes follow from the orders that are missing, so two components made one would show, as one made two.
+    """
+    lines = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber")
+    orders = lines.select(F.col("l_orderkey").alias("k")).distinct()
+    of_lines = lines.select((F.col("l_orderkey") * 8 + F.col("l_linenumber")).cast("long").alias("src"), (F.col("l_orderkey") * 8).cast("long").alias("dst"))
+    before = orders.select((F.col("k") + 1).alias("k")).join(orders, "k", "left_semi").filter("k % 50 != 0")
+    links = of_lines.union(before.select((F.col("k") * 8).cast("long"), ((F.col("k") - 1) * 8).cast("long")))
+    return components.components(links, local_links=0).groupBy("root").agg(F.count("*").alias("size"))
 
 
 @query(f"WITH RECURSIVE {QUALITY} SELECT * FROM q")
@@ -158,12 +164,15 @@ def cluster_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return clusters.repair(components.clusters(components.components(e)), e, 0.9)
 
 
-@query()
+@query(f"""WITH RECURSIVE {MEMBERS}, ins AS (SELECT a.cluster_id, src, dst, similarity FROM ed JOIN mem a ON a.member_key = src JOIN mem b ON b.member_key = dst WHERE CAST(a.cluster_id AS BIGINT) % 3 = 0),
+cut AS (SELECT src, dst FROM ins QUALIFY row_number() OVER (PARTITION BY cluster_id ORDER BY similarity, src, dst) = 1), left_ AS (SELECT src, dst FROM ed ANTI JOIN cut USING (src, dst)),
+both2 AS (SELECT src AS u, dst AS v FROM left_ UNION SELECT dst, src FROM left_), reach2 AS (SELECT u AS node, u AS other FROM both2 UNION SELECT r.node, b.v FROM reach2 r JOIN both2 b ON b.u = r.other),
+lab2 AS (SELECT node AS member_key, min(other) AS cluster_id FROM reach2 GROUP BY node) SELECT cluster_id, member_key, count(*) OVER (PARTITION BY cluster_id) AS size FROM lab2""")
 def recluster_after_verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every third cluster's first edge is cut; only the clusters touched are found anew."""
+    """The weakest edge of every third cluster is cut; only the clusters touched are found anew."""
     e = part_edges(spark, sf_dir)
     old = keep(components.clusters(components.components(e)), "old")
-    cut = clusters.intra_edges(old, e).groupBy("cluster_id").agg(F.min_by(F.struct("src", "dst"), F.struct("similarity", "src", "dst")).alias("x")).filter(F.pmod(F.xxhash64("cluster_id"), F.lit(3)) == 0)
+    cut = clusters.intra_edges(old, e).groupBy("cluster_id").agg(F.min_by(F.struct("src", "dst"), F.struct("similarity", "src", "dst")).alias("x")).filter(F.col("cluster_id").cast("long") % 3 == 0)
     said = cut.select(F.col("x.src").alias("key1"), F.col("x.dst").alias("key2"), F.lit("no_match").alias("decision"), F.lit(STAMP).alias("created_at"))
     new = keep(edges.apply_verdicts(e, said), "judged")
     touched = said.select(F.col("key1").alias("member_key")).union(said.select("key2")).distinct()
@@ -198,7 +207,14 @@ def node_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return relations.node_embeddings(walks, 16)
 
 
-@query()
+@query("""WITH RECURSIVE p AS (SELECT *, upper(trim(p_name)) AS n FROM part), s1 AS (SELECT *, count(*) OVER (PARTITION BY p_name, p_brand, p_type) AS c FROM p),
+e1 AS (SELECT a.p_partkey AS k1, b.p_partkey AS k2 FROM s1 a JOIN s1 b ON a.p_name = b.p_name AND a.p_brand = b.p_brand AND a.p_type = b.p_type AND a.p_partkey < b.p_partkey WHERE a.c BETWEEN 2 AND 100),
+l AS (SELECT * FROM p WHERE p_partkey NOT IN (SELECT k1 FROM e1 UNION SELECT k2 FROM e1)), s2 AS (SELECT *, count(*) OVER (PARTITION BY p_brand, p_type) AS c FROM l),
+e2 AS (SELECT a.p_partkey AS k1, b.p_partkey AS k2 FROM s2 a JOIN s2 b ON a.p_brand = b.p_brand AND a.p_type = b.p_type AND a.p_partkey < b.p_partkey
+  WHERE a.c BETWEEN 2 AND 1000 AND round(1 - levenshtein(a.n, b.n) / greatest(length(a.n), length(b.n)), 4) >= 0.8),
+ed AS (SELECT CAST(k1 AS VARCHAR) AS k1, CAST(k2 AS VARCHAR) AS k2 FROM (SELECT * FROM e1 UNION SELECT * FROM e2)), both_ AS (SELECT k1 AS u, k2 AS v FROM ed UNION SELECT k2, k1 FROM ed),
+reach AS (SELECT u AS node, u AS other FROM both_ UNION SELECT r.node, b.v FROM reach r JOIN both_ b ON b.u = r.other), lab AS (SELECT node AS member_key, min(other) AS cluster_id FROM reach GROUP BY node)
+SELECT cluster_id, member_key, count(*) OVER (PARTITION BY cluster_id) AS size FROM lab""")
 def multi_stage(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Equal names first, then similar ones among what is left."""
     from ..operators import scoring

@@ -23,14 +23,25 @@ pairs AS (SELECT a.p_partkey AS doc1_key, b.p_partkey AS doc2_key FROM rows_ a J
   ON a.p_brand IS NOT DISTINCT FROM b.p_brand AND a.p_type IS NOT DISTINCT FROM b.p_type AND a.p_partkey < b.p_partkey)"""
 
 
-@query("""WITH s AS (SELECT *, count(*) OVER (PARTITION BY p_brand, p_type) AS n FROM part)
+@query("""WITH s AS (SELECT *, count(*) OVER (PARTITION BY p_brand, p_type, p_size) AS n FROM part)
 SELECT a.p_partkey AS doc1_key, b.p_partkey AS doc2_key, a.p_brand AS brand, a.n AS block_size
-FROM s a JOIN s b ON a.p_brand = b.p_brand AND a.p_type = b.p_type AND a.p_partkey < b.p_partkey WHERE a.n BETWEEN 2 AND 100""")
+FROM s a JOIN s b ON a.p_brand = b.p_brand AND a.p_type = b.p_type AND a.p_size = b.p_size AND a.p_partkey < b.p_partkey WHERE a.n BETWEEN 2 AND 100""")
 def exact_block_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = blocking.Exact(["p_brand", "p_type"], "p_partkey").generate(table(spark, sf_dir, "part"))
+    """Three fields: their blocks stay below the default size at every scale of the tables."""
+    found = blocking.Exact(["p_brand", "p_type", "p_size"], "p_partkey").generate(table(spark, sf_dir, "part"))
     return found.select("doc1_key", "doc2_key", F.col("blocking_keys.p_brand").alias("brand"), "block_size")
 
 
+@query("""WITH r AS (SELECT p_partkey, p_brand, p_size, p_partkey % 8 AS shard FROM part), s AS (SELECT *, count(*) OVER (PARTITION BY p_brand, p_size, shard) AS n FROM r)
+SELECT a.p_partkey AS doc1_key, b.p_partkey AS doc2_key, a.n AS block_size, a.shard AS shard FROM s a JOIN s b
+ON a.p_brand = b.p_brand AND a.p_size = b.p_size AND a.shard = b.shard AND a.p_partkey < b.p_partkey WHERE a.n BETWEEN 2 AND 100""")
+def sharded_block_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each of eight shards is blocked by itself, in one plan."""
+    docs = table(spark, sf_dir, "part").withColumn("shard", F.col("p_partkey") % 8)
+    found = blocking.Exact(["p_brand", "p_size"], "p_partkey", shard_key="shard").generate(docs)
+    return found.select("doc1_key", "doc2_key", "block_size", F.col("blocking_keys.shard").alias("shard"))
+
+
 @query("""WITH r AS (SELECT p_partkey, p_name, nullif(p_size % 3, 0) AS k, p_brand FROM part),
 s AS (SELECT *, count(*) OVER (PARTITION BY p_name, p_brand, k) AS n FROM r)
 SELECT a.p_partkey AS doc1_key, b.p_partkey AS doc2_key, a.n AS block_size FROM s a JOIN s b
@@ -102,9 +113,21 @@ def bulk_exact_block(spark: SparkSession, sf_dir: str) -> DataFrame:
     return blocking.bulk_exact(rows, "v", "c_custkey").select("doc1_key", "doc2_key")
 
 
-@query()
+#: Of each letter; 7 is passed over, 0 parts equal codes.
+_SOUND = "01230127022455012623017202"
+_PHONETIC = f"""WITH RECURSIVE n AS (SELECT min(p_partkey) AS k, upper(p_name) AS s FROM part WHERE p_name <> '' GROUP BY p_name),
+r AS (SELECT k, s, 2 AS i, substring(s, 1, 1) AS code, translate(substring(s, 1, 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', '{_SOUND}') AS last FROM n
+UNION ALL SELECT k, s, i + 1, CASE WHEN c IN ('0', '7') OR c = last THEN code ELSE code || c END, CASE WHEN c = '7' THEN last ELSE c END
+  FROM (SELECT *, translate(CASE WHEN regexp_matches(substring(s, i, 1), '[A-Z]') THEN substring(s, i, 1) ELSE 'A' END, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', '{_SOUND}') AS c FROM r WHERE i <= length(s))),
+c AS (SELECT k, substring(arg_max(code, i) || '000', 1, 4) AS code FROM r GROUP BY k)
+SELECT a.k AS doc1_key, b.k AS doc2_key, a.code AS code FROM c a JOIN c b ON a.code = b.code AND a.k < b.k"""
+
+
+@query(_PHONETIC)
 def bulk_phonetic_block(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return blocking.bulk_phonetic(table(spark, sf_dir, "nation"), "n_name", "n_nationkey").select("doc1_key", "doc2_key", F.col("blocking_keys.code").alias("code"))
+    """The least part of each name, by the sound of the name."""
+    named = table(spark, sf_dir, "part").groupBy("p_name").agg(F.min("p_partkey").alias("p_partkey"))
+    return blocking.bulk_phonetic(named, "p_name", "p_partkey").select("doc1_key", "doc2_key", F.col("blocking_keys.code").alias("code"))
 
 
 _UNION = """a AS (SELECT x.p_partkey AS doc1_key, y.p_partkey AS doc2_key FROM part x JOIN part y ON x.p_name = y.p_name AND x.p_brand = y.p_brand AND x.p_partkey < y.p_partkey),
@@ -179,10 +202,11 @@ def candidate_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.withColumn("strategies", F.array_join("strategies", ","))
 
 
-@query("""SELECT p_partkey FROM part WHERE p_partkey NOT IN (SELECT l_partkey FROM lineitem WHERE l_quantity > 45 AND l_partkey IS NOT NULL) AND p_partkey NOT IN (SELECT l_suppkey FROM lineitem WHERE l_quantity > 45 AND l_suppkey IS NOT NULL)""")
+@query("""SELECT 'o' || o_orderkey AS doc FROM orders WHERE o_orderkey NOT IN (SELECT l_orderkey FROM lineitem WHERE l_orderkey IS NOT NULL)""")
 def unresolved_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    edges = table(spark, sf_dir, "lineitem").filter("l_quantity > 45").select(F.col("l_partkey").alias("src"), F.col("l_suppkey").alias("dst"))
-    return filters.unresolved(table(spark, sf_dir, "part").select("p_partkey"), edges, "p_partkey")
+    """Orders that no line links to a supplier."""
+    edges = table(spark, sf_dir, "lineitem").select(F.concat(F.lit("o"), F.col("l_orderkey")).alias("src"), F.concat(F.lit("s"), F.col("l_suppkey")).alias("dst"))
+    return filters.unresolved(table(spark, sf_dir, "orders").select(F.concat(F.lit("o"), F.col("o_orderkey")).alias("doc")), edges, "doc")
 
 
 @query(f"""WITH {PART_PAIRS}, u AS (SELECT p_partkey FROM part WHERE p_size <= 25)
@@ -223,6 +247,13 @@ def bm25_phrase_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search.phrase_pairs(table(spark, sf_dir, "part"), "p_name", "p_partkey", block="p_brand")
 
 
+@query(f"""WITH {_NAMES.replace("FROM part)", "FROM part WHERE p_name IS NOT NULL AND length(p_name) > 9 AND p_brand IS NOT NULL)", 1)} SELECT doc1_key, doc2_key, bm25 FROM (SELECT *, row_number() OVER (PARTITION BY doc1_key ORDER BY bm25 DESC, doc2_key) AS r FROM scored WHERE bm25 > 1.0) WHERE r <= 5""")
+def bm25_filtered_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Names of more than nine letters only: a least length is exclusive in full-text blocking."""
+    spec = {"p_name": {"not_null": True, "min_length": 9}, "p_brand": {"not_null": True}}
+    return search.phrase_pairs(table(spark, sf_dir, "part"), "p_name", "p_partkey", 1.0, 5, "p_brand", spec)
+
+
 @query(f"""WITH {_NAMES}, l AS (SELECT s.*, round(0.75 * (1 - levenshtein(upper(trim(a.p_name)), upper(trim(b.p_name))) / greatest(length(trim(a.p_name)), length(trim(b.p_name)))) + 0.25 * (1 - levenshtein(upper(trim(x.p_type)), upper(trim(y.p_type))) / greatest(length(trim(x.p_type)), length(trim(y.p_type)))), 4) AS levenshtein_score
   FROM scored s JOIN n a ON a.k = doc1_key JOIN n b ON b.k = doc2_key JOIN part x ON x.p_partkey = doc1_key JOIN part y ON y.p_partkey = doc2_key WHERE bm25 > 2.0),
 c AS (SELECT *, round(bm25 * 0.2 + levenshtein_score * 0.8, 4) AS combined_score FROM l WHERE levenshtein_score >= 0.85)
@@ -231,14 +262,14 @@ def hybrid_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search.hybrid_pairs(table(spark, sf_dir, "part"), {"p_name": 3.0, "p_type": 1.0}, "p_partkey", block="p_brand")
 
 
-_COS = "round(list_dot_product(a.v, b.v) / (sqrt(list_dot_product(a.v, a.v)) * sqrt(list_dot_product(b.v, b.v))), 6)"
+COSINE_SQL = "round(list_dot_product(a.v, b.v) / (sqrt(list_dot_product(a.v, a.v)) * sqrt(list_dot_product(b.v, b.v))), 6)"
 
 
 @query(f"""WITH e AS (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS v FROM embeddings WHERE embedding IS NOT NULL),
-s AS (SELECT a.vec_id AS doc1_key, b.vec_id AS doc2_key, {_COS} AS similarity FROM e a JOIN e b ON a.label IS NOT DISTINCT FROM b.label AND a.vec_id <> b.vec_id)
-SELECT doc1_key, doc2_key, similarity FROM (SELECT *, row_number() OVER (PARTITION BY doc1_key ORDER BY similarity DESC, doc2_key) AS r FROM s WHERE similarity >= 0.5) WHERE r <= 20""")
+s AS (SELECT a.vec_id AS doc1_key, b.vec_id AS doc2_key, {COSINE_SQL} AS similarity FROM e a JOIN e b ON a.label IS NOT DISTINCT FROM b.label AND a.vec_id <> b.vec_id)
+SELECT doc1_key, doc2_key, similarity FROM (SELECT *, row_number() OVER (PARTITION BY doc1_key ORDER BY similarity DESC, doc2_key) AS r FROM s WHERE similarity >= 0.1) WHERE r <= 20""")
 def topk_vector(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return vectors.knn_pairs(table(spark, sf_dir, "embeddings"), "embedding", "vec_id", 0.5, 20, "label")
+    return vectors.knn_pairs(table(spark, sf_dir, "embeddings"), "embedding", "vec_id", 0.1, 20, "label")
 
 
 @query("""WITH e AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings), q AS (SELECT list_transform(range(64), lambda i: CASE WHEN i % 2 = 0 THEN 1.0::DOUBLE ELSE -0.5::DOUBLE END) AS w)
@@ -248,14 +279,21 @@ def nearest_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vectors.nearest(table(spark, sf_dir, "embeddings"), [1.0 if i % 2 == 0 else -0.5 for i in range(64)], "embedding", "vec_id", 0.05, 20)
 
 
-def _lsh_sql(tables: int = 4, planes: int = 6) -> str:
+@query(f"""WITH e AS (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS v FROM embeddings WHERE embedding IS NOT NULL), a AS (SELECT * FROM e WHERE vec_id = 7)
+SELECT b.vec_id AS doc_key, {COSINE_SQL} AS similarity FROM a, e b WHERE b.vec_id <> 7 AND b.label IN (0, 2, 4) AND {COSINE_SQL} >= 0.0 ORDER BY similarity DESC, doc_key LIMIT 15""")
+def nearest_to_document(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The best of some labels for one document's own vector."""
+    return vectors.nearest_to(table(spark, sf_dir, "embeddings"), 7, "embedding", "vec_id", 0.0, 15, filters={"label": {"in": [0, 2, 4]}})
+
+
+def lsh_sql(tables: int = 4, planes: int = 6) -> str:
     every = vectors.hyperplanes(tables, planes, 64)
     bits = ["concat(" + ", ".join(f"CASE WHEN list_dot_product(v, CAST([{', '.join(repr(float(x)) for x in p)}] AS DOUBLE[])) >= 0 THEN '1' ELSE '0' END" for p in t) + ")" for t in every]
     return f"""WITH e AS (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS v FROM embeddings), s AS ({' UNION ALL '.join(f'SELECT vec_id, label, {i} AS t, {b} AS bits FROM e' for i, b in enumerate(bits))})
 SELECT DISTINCT a.vec_id AS doc1_key, b.vec_id AS doc2_key FROM s a JOIN s b ON a.t = b.t AND a.bits = b.bits AND a.label IS NOT DISTINCT FROM b.label AND a.vec_id < b.vec_id"""
 
 
-@query(_lsh_sql())
+@query(lsh_sql())
 def lsh_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vectors.lsh_pairs(table(spark, sf_dir, "embeddings"), "embedding", "vec_id", 4, 6, block="label")
 
@@ -275,6 +313,20 @@ def best_match_cross(spark: SparkSession, sf_dir: str) -> DataFrame:
     return relations.best_matches(s, c, {"s_nationkey": "c_nationkey"}, {"s_end": ("c_end", 1.0)}, "s_suppkey", "c_custkey", 0.5, linked)
 
 
+@query("""WITH w AS (SELECT p_partkey AS k, p_brand, p_size, p_name, list_filter(string_split_regex(lower(p_name), '[^a-z0-9_]+'), lambda x: x <> '') AS w FROM part),
+s AS (SELECT * FROM w WHERE k % 4 = 1), t AS (SELECT * FROM w WHERE k % 4 <> 1), q AS (SELECT DISTINCT k AS source_key, unnest(w) AS token FROM s),
+i AS (SELECT k, len(w) AS size, unnest(w) AS token FROM t), post AS (SELECT k, token, size, count(*) AS tf FROM i GROUP BY ALL), tot AS (SELECT count(*) AS docs, avg(size) AS mean_size FROM (SELECT DISTINCT k, size FROM post)), df AS (SELECT token, count(*) AS df FROM post GROUP BY token),
+p AS (SELECT s.k AS source_key, t.k AS target_key, round(1 - levenshtein(upper(trim(s.p_name)), upper(trim(t.p_name))) / greatest(length(trim(s.p_name)), length(trim(t.p_name))), 4) AS score FROM s JOIN t ON s.p_brand = t.p_brand),
+b AS (SELECT source_key, target_key, round(sum(ln(1 + (docs - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * size / mean_size))), 4) AS bm25 FROM p JOIN q USING (source_key) JOIN post ON post.k = target_key AND post.token = q.token JOIN df ON df.token = q.token, tot WHERE score >= 0.3 GROUP BY ALL),
+m AS (SELECT source_key, target_key, score, coalesce(bm25, 0) AS bm25 FROM p LEFT JOIN b USING (source_key, target_key) WHERE score >= 0.3)
+SELECT source_key, target_key, score, bm25, round(score * 0.8 + bm25 * 0.2, 4) AS total FROM m QUALIFY row_number() OVER (PARTITION BY source_key ORDER BY round(score * 0.8 + bm25 * 0.2, 4) DESC, target_key) = 1""")
+def best_match_bm25(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every fourth part against the others of its brand, by edit distance and BM25 of the names."""
+    parts = table(spark, sf_dir, "part")
+    k = F.col("p_partkey") % 4
+    return relations.best_matches(parts.filter(k == 1), parts.filter(k != 1), {"p_brand": "p_brand"}, {"p_name": ("p_name", 1.0)}, "p_partkey", "p_partkey", 0.3, bm25=("p_name", "p_name"))
+
+
 @query("""WITH d AS (SELECT n_nationkey AS k, n_name AS n FROM nation),
 p AS (SELECT a.k AS record_key, b.k AS doc_key, round(CASE WHEN lower(a.n) = lower(b.n) THEN 1.0 ELSE jaro_winkler_similarity(lower(a.n), lower(b.n)) END, 4) AS score FROM d a JOIN d b ON lower(substring(a.n, 1, 3)) = lower(substring(b.n, 1, 3)) AND a.k <> b.k)
 SELECT record_key, doc_key, score, CAST(row_number() OVER (PARTITION BY record_key ORDER BY score DESC, doc_key) AS INTEGER) AS rank FROM p WHERE score >= 0.5 QUALIFY row_number() OVER (PARTITION BY record_key ORDER BY score DESC, doc_key) <= 10""")

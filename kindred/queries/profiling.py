@@ -139,13 +139,35 @@ def measured_blocking_plans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return advisor.measured_plan(table(spark, sf_dir, "part"), [["p_brand", "p_type"], ["p_name"]], 20).select("fields", "blocks", "pairs", "largest")
 
 
-@query()
+_PROFILE = f"""{_LONG}, b AS (SELECT field, count(*) AS n, count(value) AS f FROM u GROUP BY 1), c AS (SELECT field, lower(trim(value)) AS s, count(*) AS n FROM u WHERE value IS NOT NULL GROUP BY ALL),
+h AS (SELECT c.field, c.n / b.f AS p, row_number() OVER (PARTITION BY c.field ORDER BY c.n DESC, s) AS r FROM c JOIN b USING (field)),
+e AS (SELECT field, CASE WHEN count(*) > 1 THEN round(-sum(p * log2(p)) / log2(count(*)), 4) ELSE 0 END AS entropy FROM h WHERE r <= 5 GROUP BY 1),
+fp AS (SELECT field, round(1 - f / n, 4) AS nulls, entropy FROM b JOIN e USING (field)),
+sg AS (SELECT count(*) AS n FROM part GROUP BY lower(trim(p_name)) || '|' || lower(trim(p_brand))),
+t AS (SELECT CAST(sum(n) AS BIGINT) AS rows, round(coalesce(sum(n - 1) FILTER (n > 1), 0) / sum(n), 4) AS dup, round(max(n) / sum(n), 4) AS hub FROM sg)"""
+
+
+@query(f"""WITH {_PROFILE}, o AS (SELECT *, CASE field WHEN 'p_name' THEN 1 WHEN 'p_brand' THEN 2 ELSE 3 END AS i FROM fp),
+k AS (SELECT field AS fields, 1 AS n, nulls AS sn, entropy AS se FROM o UNION ALL SELECT a.field || ',' || b.field, 2, a.nulls + b.nulls, a.entropy + b.entropy FROM o a JOIN o b ON a.i < b.i
+  UNION ALL SELECT string_agg(field, ',' ORDER BY i), 3, sum(nulls), sum(entropy) FROM o)
+SELECT fields, round(greatest(0, least(1, 0.55 * (1 - sn / n) + 0.3 * se / n + least(0.15, 0.05 * (n - 1)))), 4) AS score, CAST(floor(rows * rows * CASE n WHEN 1 THEN 0.02 WHEN 2 THEN 0.006 ELSE 0.002 END + 1e-6) AS BIGINT) AS candidate_pairs,
+round(greatest(0, 0.95 - 0.07 * (n - 1)), 4) AS recall, round(least(0.99, 0.45 + 0.12 * (n - 1)), 4) AS precision, round(greatest(0, hub - least(0.5, 0.15 * (n - 1))), 4) AS hub_risk FROM k, t ORDER BY score DESC, string_split(fields, ',') LIMIT 5""")
 def blocking_key_ranking(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = advisor.blocking_keys(advisor.dataset_profile(_parts(spark, sf_dir), ["p_name", "p_brand", "p_type"]), ["p_name", "p_brand", "p_type"])
     return spark.createDataFrame([(",".join(x["fields"]), x["score"], x["candidate_pairs"], x["recall"], x["precision"], x["hub_risk"]) for x in found], "fields string, score double, candidate_pairs long, recall double, precision double, hub_risk double")
 
 
-@query()
+#: Each strategy's fit to balanced priorities, its edge control, noise tolerance, precision and throughput, worked out by hand.
+_FITS = """(VALUES ('hybrid_block_then_weighted_match', 0.85 * 0.24 + 0.76 * 0.20 + 0.82 * 0.18 + 0.78 * 0.14 + 0.73 * 0.14 + 0.84 * 0.10, 0.84, 0.64, 0.85, 0.82),
+('pre_ingest_canonicalize_then_match', 0.88 * 0.24 + 0.68 * 0.20 + 0.91 * 0.18 + 0.84 * 0.14 + 0.80 * 0.14 + 0.94 * 0.10, 0.94, 0.56, 0.88, 0.91),
+('deterministic_rules_then_review', 0.87 * 0.24 + 0.58 * 0.20 + 0.83 * 0.18 + 0.81 * 0.14 + 0.93 * 0.14 + 0.89 * 0.10, 0.89, 0.42, 0.87, 0.83),
+('embedding_first_nearest_neighbor', 0.73 * 0.24 + 0.90 * 0.20 + 0.57 * 0.18 + 0.46 * 0.14 + 0.52 * 0.14 + 0.62 * 0.10, 0.62, 0.93, 0.73, 0.57),
+('graph_first_collective_resolution', 0.81 * 0.24 + 0.86 * 0.20 + 0.50 * 0.18 + 0.48 * 0.14 + 0.59 * 0.14 + 0.50 * 0.10, 0.50, 0.76, 0.81, 0.50)) AS v(strategy, fit, edges, noise, precise, through)"""
+
+
+@query(f"""WITH {_PROFILE}, a AS (SELECT avg(entropy) AS entropy, avg(nulls) AS nulls FROM fp)
+SELECT strategy, round(fit + CASE WHEN dup >= 0.08 THEN 0.06 * edges ELSE 0 END + CASE WHEN hub >= 0.2 THEN 0.08 * edges - CASE WHEN strategy LIKE 'graph%' THEN 0.03 ELSE 0 END ELSE 0 END
+  + CASE WHEN entropy < 0.45 THEN 0.05 * noise ELSE 0.03 * precise END - CASE WHEN nulls > 0.35 THEN 0.06 * precise + 0.04 * through ELSE 0 END + CASE WHEN rows >= 500000 THEN 0.05 * through ELSE 0 END, 4) AS score FROM {_FITS}, a, t""")
 def strategy_ranking(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = advisor.strategies(advisor.dataset_profile(_parts(spark, sf_dir), ["p_name", "p_brand", "p_type"]))
     return spark.createDataFrame([(x["strategy"], x["score"]) for x in found], "strategy string, score double")

@@ -12,7 +12,7 @@ SQL: dict[str, str] = {}
 
 
 def query(sql: str | None = None) -> Callable[[Query], Query]:
-    """Register a function by its name; without sql the tests hold it against brute force."""
+    """Register a function by its name; without sql tests/test_without_sql.py holds it against brute force."""
 
     def add(f: Query) -> Query:
         QUERIES[f.__name__] = f

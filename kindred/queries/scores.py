@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import names, numbers, text
 from ..operators import advisor, evaluation, gates, learning, scoring, vectors
 from ..operators.tables import keep
-from .pairs import PART_PAIRS, part_pairs
+from .pairs import COSINE_SQL, PART_PAIRS, lsh_sql, part_pairs
 from .registry import query, table
 
 NAME = [scoring.Field("p_name", 1.0, "levenshtein")]
@@ -232,18 +232,40 @@ def explain_match(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scoring.explain(pairs, docs, ["n_name"], "n_nationkey").select("doc1_key", "doc2_key", "score", "interpretation")
 
 
-@query(f"{_EVIDENCE_SQL} SELECT CAST(s1 >= 0.8 AS INTEGER) AS g_p_name, CAST(s2 >= 1.0 AS INTEGER) AS g_p_size, count(*) AS weight FROM s GROUP BY ALL")
+_GAMMAS = f"{_EVIDENCE_SQL} SELECT CAST(s1 >= 0.8 AS INTEGER) AS g_p_name, CAST(s2 >= 1.0 AS INTEGER) AS g_p_size, count(*) AS weight FROM s GROUP BY ALL"
+
+
+@query(_GAMMAS)
 def gamma_patterns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return learning.gammas(_evidence_scores(spark, sf_dir), {"p_name": 0.8, "p_size": 1.0})
 
 
-@query()
+def _em_sql(m: float = 0.9, u: float = 0.1, prior: float = 0.1, tolerance: float = 1e-5, most: int = 50) -> str:
+    """Each round is a row made of the one before it."""
+    a = "lam * (CASE WHEN g1 = 1 THEN m1 ELSE 1 - m1 END) * (CASE WHEN g2 = 1 THEN m2 ELSE 1 - m2 END)"
+    b = "(1 - lam) * (CASE WHEN g1 = 1 THEN u1 ELSE 1 - u1 END) * (CASE WHEN g2 = 1 THEN u2 ELSE 1 - u2 END)"
+    mean = lambda x, of: f"greatest(1e-6, least(1 - 1e-6, sum({x}) / greatest(sum({of}), 1e-12)))"
+    return f"""WITH RECURSIVE pat AS (SELECT g_p_name AS g1, g_p_size AS g2, CAST(weight AS DOUBLE) AS w FROM ({_GAMMAS})),
+st AS (SELECT 0 AS n, {m}::DOUBLE AS m1, {m}::DOUBLE AS m2, {u}::DOUBLE AS u1, {u}::DOUBLE AS u2, {prior}::DOUBLE AS lam, 1.0::DOUBLE AS change
+UNION ALL SELECT n + 1, y.m1, y.m2, y.u1, y.u2, y.lam, greatest(abs(y.m1 - x.m1), abs(y.m2 - x.m2), abs(y.u1 - x.u1), abs(y.u2 - x.u2), abs(y.lam - x.lam)) FROM
+(SELECT n, any_value(m1) AS pm1, any_value(m2) AS pm2, any_value(u1) AS pu1, any_value(u2) AS pu2, any_value(lam) AS plam,
+ {mean("w * r * g1", "w * r")} AS m1, {mean("w * r * g2", "w * r")} AS m2, {mean("w * (1 - r) * g1", "w * (1 - r)")} AS u1, {mean("w * (1 - r) * g2", "w * (1 - r)")} AS u2, greatest(1e-6, least(1 - 1e-6, sum(w * r) / sum(w))) AS lam
+ FROM (SELECT *, {a} / greatest({a} + {b}, 1e-300) AS r FROM st, pat WHERE change >= {tolerance!r} AND n < {most}) GROUP BY n) y, LATERAL (SELECT pm1 AS m1, pm2 AS m2, pu1 AS u1, pu2 AS u2, plam AS lam) x),
+z AS (SELECT * FROM st ORDER BY n DESC LIMIT 1), v AS (SELECT CASE WHEN m1 + m2 < u1 + u2 THEN 1 ELSE 0 END AS turned, * FROM z)
+SELECT 'p_name' AS field, round(CASE WHEN turned = 1 THEN u1 ELSE m1 END, 6) AS m, round(CASE WHEN turned = 1 THEN m1 ELSE u1 END, 6) AS u, round(CASE WHEN turned = 1 THEN 1 - lam ELSE lam END, 6) AS prior FROM v
+UNION ALL SELECT 'p_size', round(CASE WHEN turned = 1 THEN u2 ELSE m2 END, 6), round(CASE WHEN turned = 1 THEN m2 ELSE u2 END, 6), round(CASE WHEN turned = 1 THEN 1 - lam ELSE lam END, 6) FROM v"""
+
+
+@query(_em_sql())
 def em_estimate(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = learning.em(gamma_patterns(spark, sf_dir), ["p_name", "p_size"])
     return spark.createDataFrame([(f, round(found.m[f], 6), round(found.u[f], 6), round(found.prior, 6)) for f in found.m], "field string, m double, u double, prior double")
 
 
-@query()
+@query(f"""{_EVIDENCE_SQL}, y AS (SELECT *, s1 = 1 AS y FROM s), d AS (SELECT 'name' AS feature, abs(coalesce(avg(s1) FILTER (y), 0) - coalesce(avg(s1) FILTER (NOT y), 0)) / greatest(1e-6, coalesce(stddev_pop(s1), 0)) AS d FROM y
+UNION ALL SELECT 'size', abs(coalesce(avg(s2) FILTER (y), 0) - coalesce(avg(s2) FILTER (NOT y), 0)) / greatest(1e-6, coalesce(stddev_pop(s2), 0)) FROM y),
+w AS (SELECT feature, d, round(d / sum(d) OVER (), 4) AS w, row_number() OVER (ORDER BY d DESC, feature) AS r FROM d)
+SELECT feature, CASE WHEN r = 1 THEN round(w + round(1 - sum(w) OVER (), 4), 4) ELSE w END AS weight FROM w""")
 def feature_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _evidence_scores(spark, sf_dir).select(F.col("s_p_name").alias("name"), F.col("s_p_size").alias("size"), (F.col("s_p_name") == 1).cast("int").alias("label"))
     return spark.createDataFrame(sorted(advisor.feature_weights(rows, ["name", "size"]).items()), "feature string, weight double")
@@ -317,7 +339,15 @@ def embedding_drift(spark: SparkSession, sf_dir: str) -> DataFrame:
     return evaluation.embedding_drift(pairs.withColumn("expected_cosine", F.lit(0.5)))
 
 
-@query()
+def _overlap_sql(tables: int = 10, planes: int = 6, k: int = 10) -> str:
+    near = lsh_sql(tables, planes)
+    return f"""WITH near AS ({near}), got AS (SELECT doc1_key AS q, doc2_key AS id FROM near UNION SELECT doc2_key, doc1_key FROM near), e AS (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS v FROM embeddings WHERE embedding IS NOT NULL),
+c AS (SELECT a.vec_id AS q, b.vec_id AS id, {COSINE_SQL} AS s FROM e a JOIN e b ON a.label IS NOT DISTINCT FROM b.label AND a.vec_id <> b.vec_id),
+w AS (SELECT q, id FROM c WHERE s >= -1 QUALIFY row_number() OVER (PARTITION BY q ORDER BY s DESC, id) <= {k}), h AS (SELECT w.q, count(g.id) AS n FROM w LEFT JOIN got g ON g.q = w.q AND g.id = w.id GROUP BY ALL)
+SELECT count(*) AS queries, round(avg(n / {k}), 6) AS overlap FROM h"""
+
+
+@query(_overlap_sql())
 def top_k_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How much of the exact ten nearest within a label the hyperplanes find."""
     docs = table(spark, sf_dir, "embeddings")

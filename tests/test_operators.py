@@ -132,10 +132,10 @@ def test_weighted_score_skips_blank_fields(spark):
 
 
 def test_margin_is_to_the_second_best_of_either_end(spark):
-    scored = spark.createDataFrame([("a1", "a2", 0.91), ("a1", "a3", 0.88)], "doc1_key string, doc2_key string, score double")
-    assert {r["key"]: r["second"] for r in gates.margins(scored).collect()} == {"a1": 0.88, "a2": 0.0, "a3": 0.0}
+    scored = spark.createDataFrame([("m4", "m9", 0.77), ("m4", "m2", 0.71)], "doc1_key string, doc2_key string, score double")
+    assert {r["key"]: r["second"] for r in gates.margins(scored).collect()} == {"m4": 0.71, "m9": 0.0, "m2": 0.0}
     kept = gates.apply_gates(scored, gates.Gates(min_margin=0.02))
-    assert pairs(kept) == [("a1", "a2")]
+    assert pairs(kept) == [("m4", "m9")]
 
 
 @pytest.mark.parametrize("local", [0, 1000])
