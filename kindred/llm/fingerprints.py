@@ -4,19 +4,25 @@ A text of code points c has the prefix array P[i] = sum of c[j] * B**j for j < i
 side make 62 bits. From it any span's hash follows in constant time, so spans are compared without being read again,
 and the longest common extension of two positions is found by binary search.
 
-A fingerprint is one line of hexadecimal: the number of code points, the hash of the whole text, and SLOTS minima of
-the hashes of all spans of SPAN code points (of the whole text, if it is shorter), one minimum for each residue class
-of the spans' hashes. The likeness of two fingerprints is 1 if their wholes agree; else the share of slots that agree
-among those that either has, relative to what would agree by chance.
-
-Defined cases: a null text is an empty one; two empty texts are alike (1), an empty and another not at all (0); rows
-that share an id follow each other by text; rows without an id come first; a lone document is its own next one.
+A fingerprint is a sample of that array: the number of code points, the hash of the whole text, and marks, which are
+places in the text with the prefix hash there. MARKS of them are where the least hashes of SPAN code points are first
+met, so a passage has the same marks wherever it stands; up to GRID more stand at equal distances of a power of two.
+Between two marks that two texts share, the spans are equal or not by their prefix hashes alone. The likeness of two
+fingerprints begins with the longest common beginning, found by binary search over the shared places, and goes on
+through the marks of equal hash after it, from each to the end of the longest common extension, found alike; it is the
+share of the longer text that is covered. Equal texts have likeness 1.
+
+Defined cases: a null text is an empty one; two empty texts are alike (1), an empty and another not at all (0); texts
+shorter than SPAN have marks at equal distances only; a text of any length is read whole, and its fingerprint
+does not grow with it; rows that share an id follow each other by text; rows without an id come first; a lone document is
+its own next one; columns but the id and the text are not read, so none can clash; an empty table gives an empty result.
 """
 
 from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterable, Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
@@ -28,10 +34,8 @@ from pyspark.sql import types as T
 from .shared import prepare
 
 PRIMES = ((2**31 - 1, 1_000_003), (2**31 - 19, 1_299_709))
-SPAN = 24
-SLOTS = 64
-_BITS = 16
-_EMPTY = (1 << _BITS) - 1
+SPAN = 12
+MARKS, GRID = 24, 16
 
 _powers: dict[int, np.ndarray] = {}
 
@@ -125,33 +129,97 @@ def _mix(h: np.ndarray) -> np.ndarray:
     return h ^ h >> np.uint64(31)
 
 
-def fingerprint(points: np.ndarray) -> str:
+@dataclass(frozen=True)
+class Fingerprint:
+    """Marks in the text's order, the first at its beginning, the last at its end; those at equal distances have no key."""
+
+    at: list[int]
+    keys: list[int | None]
+    #: Prefix hash at each mark, of either prime.
+    prefix: tuple[list[int], list[int]]
+
+    @property
+    def n(self) -> int:
+        return self.at[-1]
+
+    def __str__(self) -> str:
+        x, y = self.prefix
+        rows = list(zip(self.at, self.keys, x, y, strict=True))[1:-1]
+        marks = ".".join(f"{p:x}:{'' if k is None else f'{k:08x}'}:{u << 31 | v:016x}" for p, k, u, v in rows)
+        return f"{self.n:x}-{x[-1] << 31 | y[-1]:016x}-{marks}"
+
+    @classmethod
+    def read(cls, text: str) -> Fingerprint:
+        n, whole, marks = text.split("-")
+        rows = [m.split(":") for m in marks.split(".")] if marks else []
+        hashes = [0, *(int(r[2], 16) for r in rows), int(whole, 16)]
+        return cls([0, *(int(r[0], 16) for r in rows), int(n, 16)], [None, *(int(r[1], 16) if r[1] else None for r in rows), None], ([h >> 31 for h in hashes], [h & (1 << 31) - 1 for h in hashes]))
+
+    def same(self, i: int, k: int, other: Fingerprint, j: int, m: int) -> bool:
+        """Whether the text between marks i and k is the other's between j and m."""
+        a, b = self.at[i], other.at[j]
+        if self.at[k] - a != other.at[m] - b:
+            return False
+        for (p, base), mine, theirs in zip(PRIMES, self.prefix, other.prefix, strict=True):
+            x, y = mine[k] - mine[i], theirs[m] - theirs[j]
+            if (x * pow(base, b - a, p) - y if a < b else x - y * pow(base, a - b, p)) % p:
+                return False
+        return True
+
+
+def fingerprint(points: np.ndarray) -> Fingerprint:
     prefixes = Prefixes(points)
-    n = prefixes.n
-    slots = np.full(SLOTS, _EMPTY, np.int64)
-    if n:
-        h = _mix(prefixes.spans(min(SPAN, n)))
-        least = np.full(SLOTS, ~np.uint64(0))
-        np.minimum.at(least, (h & np.uint64(SLOTS - 1)).astype(np.int64), h >> np.uint64(6))
-        used = least != ~np.uint64(0)
-        slots[used] = (_mix(least[used]) % np.uint64(_EMPTY)).astype(np.int64)
-    return f"{n:x}-{prefixes.whole():016x}-" + "".join(f"{s:04x}" for s in slots.tolist())
-
-
-def likeness(a: str, b: str) -> float:
+    n, at, keys = prefixes.n, np.zeros(0, np.int64), np.zeros(0, np.int64)
+    if n >= SPAN:
+        h = _mix(prefixes.spans(SPAN))
+        # The least hashes, each where it is first met; all are sorted only if repeats leave too few.
+        near = np.flatnonzero(h <= np.partition(h, 2 * MARKS)[2 * MARKS]) if len(h) > 4 * MARKS else np.arange(len(h))
+        found, first = np.unique(h[near], return_index=True)
+        if len(found) < MARKS and len(near) < len(h):
+            near = np.arange(len(h))
+            found, first = np.unique(h, return_index=True)
+        at, keys = near[first[:MARKS]], (found[:MARKS] >> np.uint64(32)).astype(np.int64)
+    step = 1 << max(0, (n - 1).bit_length() - GRID.bit_length() + 1)
+    even = np.arange(step, n, step)
+    every = np.concatenate([[0], even, at, [n]]).astype(np.int64)
+    of = np.concatenate([np.full(len(even) + 1, -1), keys, [-1]]).astype(np.int64)
+    order = np.lexsort((of, every))
+    order = np.concatenate([[0], order[(order > 0) & (order < len(every) - 1)], [len(every) - 1]])
+    every = every[order]
+    return Fingerprint(every.tolist(), [None if k < 0 else k for k in of[order].tolist()], tuple(p[every].tolist() for p in prefixes.arrays))
+
+
+def _extended(a: Fingerprint, b: Fingerprint, shared: list[tuple[int, int]], now: int) -> int:
+    """Number of the last of the shared marks up to which both texts go on alike from number now."""
+    low, high = now, len(shared) - 1
+    while low < high:
+        middle = (low + high + 1) // 2
+        if a.same(shared[now][0], shared[middle][0], b, shared[now][1], shared[middle][1]):
+            low = middle
+        else:
+            high = middle - 1
+    return low
+
+
+def likeness(a: Fingerprint | str, b: Fingerprint | str) -> float:
     """0 to 1, from fingerprints alone."""
-    na, wa, sa = a.split("-")
-    nb, wb, sb = b.split("-")
-    if (na, wa) == (nb, wb):
+    a, b = (Fingerprint.read(x) if isinstance(x, str) else x for x in (a, b))
+    last = len(a.at) - 1, len(b.at) - 1
+    if a.same(0, last[0], b, 0, last[1]):
         return 1.0
-    if "0" in (na, nb):
+    if not a.n or not b.n:
         return 0.0
-    x = np.array([int(sa[i : i + 4], 16) for i in range(0, len(sa), 4)])
-    y = np.array([int(sb[i : i + 4], 16) for i in range(0, len(sb), 4)])
-    used = (x != _EMPTY) | (y != _EMPTY)
-    share = float((x == y)[used].mean()) if used.any() else 0.0
-    chance = 2.0**-_BITS
-    return min(1.0, max(0.0, (share - chance) / (1 - chance)))
+    places = {p: j for j, (p, k) in enumerate(zip(b.at, b.keys, strict=True)) if k is None and j < last[1]}
+    even = [(i, places[p]) for i, (p, k) in enumerate(zip(a.at, a.keys, strict=True)) if k is None and i < last[0] and p in places]
+    begin = even[_extended(a, b, even, 0)]
+    where = {k: j for j, k in enumerate(b.keys) if k is not None}
+    shared = [begin, *((i, where[k]) for i, k in enumerate(a.keys) if k in where and i > begin[0]), last]
+    covered, now = a.at[begin[0]], 0
+    while now < len(shared) - 1:
+        end = _extended(a, b, shared, now)
+        covered += a.at[shared[end][0]] - a.at[shared[now][0]]
+        now = max(end, now + 1)
+    return min(1.0, covered / max(a.n, b.n))
 
 
 def edit(points: np.ndarray, following: np.ndarray) -> np.ndarray:
@@ -184,7 +252,7 @@ def _judge(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     changed = edit(held[3], points)
                     other = fingerprint(changed)
                     sha = hashlib.sha256(changed.tobytes().decode("utf-32-le").encode()).hexdigest()
-                    rows.append((held[2], len(held[3]), sha, held[4], other, likeness(held[4], other), likeness(held[4], mark)))
+                    rows.append((held[2], len(held[3]), sha, str(held[4]), str(other), likeness(held[4], other), likeness(held[4], mark)))
                 held = (bucket, own, name, points, mark)
                 size += len(points)
             if size > 1 << 20 and rows:
@@ -195,15 +263,12 @@ def _judge(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _bucket(bounds: list):
-    """Bucket of an id: how many of the bounds it reaches. Only the ids go to Python."""
-    edges = np.array(bounds)
+    """Bucket of an id that is not null: how many of the bounds it reaches. Only the ids go to Python, as whole numbers."""
+    edges = np.array(bounds, np.int64)
 
     @F.pandas_udf(T.IntegerType())
     def of(ids: pd.Series) -> pd.Series:
-        known = ids.notna()
-        found = np.zeros(len(ids), np.int32)
-        found[known.to_numpy()] = np.searchsorted(edges, ids[known].to_numpy().astype(edges.dtype), "right")
-        return pd.Series(found)
+        return pd.Series(np.searchsorted(edges, ids.to_numpy(), "right").astype(np.int32))
 
     return of
 
@@ -221,7 +286,7 @@ def with_next(docs: DataFrame, buckets: int | None = None, id_column: str = "doc
     n = buckets or 4 * partitions
     ids = rows.select("id")
     bounds = sorted({int(x) for x in ids.approxQuantile("id", [k / n for k in range(1, n)], 0.2 / n)}) if n > 1 else []
-    place = _bucket(bounds)(F.col("id")) if bounds else F.lit(0)
+    place = F.when(F.col("id").isNull(), 0).otherwise(_bucket(bounds)(F.coalesce(F.col("id"), F.lit(bounds[0])).cast("long"))) if bounds else F.lit(0)
     placed = rows.withColumn("bucket", place)
     # Rows without an id are first, so the first of a range is null where one of them is there.
     lead = F.struct(F.col("id").isNotNull().alias("known"), F.col("id").alias("first"))

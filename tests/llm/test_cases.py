@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import io
 import random
 
 import numpy as np
@@ -119,12 +120,27 @@ def test_wavelet_matrix(n):
     for i in [0, n // 2, n - 1] if n else []:
         where = np.flatnonzero(ids == ids[i])
         assert m.access(i) == ids[i] and m.count(int(ids[i])) == len(where) and m.rank(int(ids[i]), i) == (where < i).sum()
-        assert m.select(int(ids[i]), int((where < i).sum())) == i
-    assert m.count(50258) == 0 and m.locate(50258) == []
+        assert m.select(int(ids[i]), int((where < i).sum())) == i and (m.locate(int(ids[i])) == where).all()
+    assert m.count(50258) == 0 and len(m.locate(50258)) == 0
     with pytest.raises(IndexError):
         m.access(n)
 
 
+def test_an_access_reads_a_few_blocks_of_the_file():
+    class Counted(io.BytesIO):
+        read_bytes = 0
+
+        def read(self, n=-1):
+            found = super().read(n)
+            Counted.read_bytes += len(found)
+            return found
+
+    ids = np.random.default_rng(1).integers(0, 50257, 1 << 21).astype("u4")
+    raw = wavelet.dump(ids, np.array([len(ids)]), pa.array([1]), 16)
+    m = wavelet.WaveletMatrix(pa.PythonFile(Counted(raw), mode="r"))
+    assert m.access(1_500_000) == ids[1_500_000] and Counted.read_bytes < len(raw) / 3
+
+
 def test_token_files(spark, docs, none, path):
     folder = f"{shared_folder(spark)}/t"
     got = wavelet.read(wavelet.write(docs, folder, path, 2), folder).orderBy("start").collect()
