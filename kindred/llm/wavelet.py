@@ -9,7 +9,9 @@ arrays the documents' ends (u64), and for each plane the blocks' offsets (u64) a
 then the documents' ids (an Arrow stream) and the blocks.
 
 Defined cases: a null text is an empty one, which has the end id alone; repeated ids of documents are neighbours,
-ordered by text; rows without an id come first; an empty table writes no file and reads back as no row.
+ordered by text; rows without an id come first; a text is never cut, so one of any length is in one shard (a document
+of over 2**29 tokens would not fit a row when it is read back); columns but the id and the text are not read, so none can
+clash; an empty table writes no file and reads back as no row.
 """
 
 from __future__ import annotations
@@ -62,30 +64,34 @@ def dump(ids: np.ndarray, ends: np.ndarray, names: pa.Array, bits: int) -> bytes
 
 
 class WaveletMatrix:
-    """Reads one file; nothing but the blocks that a question touches is decompressed."""
+    """Answers from one file, given as bytes or as an open file of pyarrow's: after the header, only those blocks are
+    read and decompressed that a question touches."""
 
-    def __init__(self, raw: bytes):
-        if raw[:4] != b"WVM1":
+    def __init__(self, source: bytes | pa.NativeFile):
+        self.file = pa.BufferReader(source) if isinstance(source, bytes) else source
+        start = bytes(self.file.read_at(8, 0))
+        if start[:4] != b"WVM1":
             raise ValueError("not a wavelet matrix file")
-        self.raw = memoryview(raw)
-        size = int(np.frombuffer(raw, "<u4", 1, 4)[0])
-        head = json.loads(raw[8 : 8 + size])
+        size = int(np.frombuffer(start, "<u4", 1, 4)[0])
+        head = json.loads(bytes(self.file.read_at(size, 8)))
         self.tokens, self.bits, self.zeros, documents = head["tokens"], head["bits"], head["zeros"], head["documents"]
-        at = 8 + size
-        self.ends = np.frombuffer(raw, "<u8", documents, at).astype(np.int64)
-        at += 8 * documents
         n = -(-self.tokens // BLOCK_BITS) + 1
-        self.offsets = np.frombuffer(raw, "<u8", n * self.bits, at).reshape(self.bits, n).astype(np.int64)
-        at += 8 * n * self.bits
-        self.counts = np.frombuffer(raw, "<u8", n * self.bits, at).reshape(self.bits, n).astype(np.int64)
-        at += 8 * n * self.bits
-        self.names = pa.ipc.open_stream(self.raw[at : at + head["table"]]).read_all().column("id").combine_chunks()
-        self.base = at + head["table"]
+        counted = 8 * (documents + 2 * n * self.bits)
+        numbers = np.frombuffer(self.file.read_at(counted, 8 + size), "<u8").astype(np.int64)
+        self.ends = numbers[:documents]
+        self.offsets, self.counts = numbers[documents:].reshape(2, self.bits, n)
+        self.names_at, self.table = 8 + size + counted, head["table"]
+        self.base = self.names_at + self.table
         self.open = zstandard.ZstdDecompressor()
 
+    @property
+    def names(self) -> pa.Array:
+        """The documents' own ids."""
+        return pa.ipc.open_stream(self.file.read_at(self.table, self.names_at)).read_all().column("id").combine_chunks()
+
     def _block(self, level: int, k: int) -> np.ndarray:
-        a, b = self.offsets[level, k], self.offsets[level, k + 1]
-        return np.frombuffer(self.open.decompress(self.raw[self.base + a : self.base + b]), np.uint8)
+        a, b = int(self.offsets[level, k]), int(self.offsets[level, k + 1])
+        return np.frombuffer(self.open.decompress(self.file.read_at(b - a, self.base + a)), np.uint8)
 
     def _ones(self, level: int, i: int) -> int:
         """Ones among the first i bits of a plane."""
@@ -131,22 +137,28 @@ class WaveletMatrix:
         first, last = self._range(token, 0, self.tokens)
         if not 0 <= k < last - first:
             raise IndexError(k)
-        at = first + k
+        return int(self._up(token, np.array([first + k]))[0])
+
+    def locate(self, token: int) -> np.ndarray:
+        """All positions of token, ascending: they lie together on the lowest plane and go up together."""
+        first, last = self._range(token, 0, self.tokens)
+        return self._up(token, np.arange(first, last))
+
+    def _up(self, token: int, at: np.ndarray) -> np.ndarray:
+        """Positions in the text of ascending positions below the lowest plane; each block is opened once for all."""
         for level in range(self.bits - 1, -1, -1):
             bit = token >> (self.bits - 1 - level) & 1
-            at = self._find(level, at - (self.zeros[level] if bit else 0), bit)
+            k = at - (self.zeros[level] if bit else 0)
+            counts = self.counts[level]
+            before = counts if bit else np.minimum(np.arange(len(counts)) * BLOCK_BITS, self.tokens) - counts
+            block = np.searchsorted(before, k, "right") - 1
+            at = np.empty_like(k)
+            for b in np.unique(block).tolist():
+                bits = np.unpackbits(self._block(level, b), bitorder="little")[: self.tokens - b * BLOCK_BITS]
+                own = block == b
+                at[own] = b * BLOCK_BITS + np.flatnonzero(bits == bit)[k[own] - before[b]]
         return at
 
-    def _find(self, level: int, k: int, bit: int) -> int:
-        before = self.counts[level] if bit else np.minimum(np.arange(len(self.counts[level])) * BLOCK_BITS, self.tokens) - self.counts[level]
-        block = int(np.searchsorted(before, k, "right")) - 1
-        bits = np.unpackbits(self._block(level, block), bitorder="little")[: self.tokens - block * BLOCK_BITS]
-        return block * BLOCK_BITS + int(np.flatnonzero(bits == bit)[k - int(before[block])])
-
-    def locate(self, token: int) -> list[int]:
-        """All positions of token, ascending."""
-        return [self.select(token, k) for k in range(self.count(token))]
-
     def all(self) -> np.ndarray:
         """Every token, by undoing the partings from the lowest plane up."""
         values = np.zeros(self.tokens, np.uint16 if self.bits <= 16 else np.uint32)
