@@ -9,7 +9,9 @@ The automaton grows with the benchmark, so the benchmark is dealt to parts of bo
 narrow pass over the rows, which carry what the earlier parts hit. Items are never cut: a window lies within one item.
 
 Defined cases: a null text has no words; an item without words or without an id is left out; equal items or repeated
-item ids count once by id; an empty benchmark hits nothing; repeated rows are judged alike.
+item ids count once by id; an empty benchmark hits nothing; repeated rows are judged alike; a text of any length is
+streamed whole; of two items with the same window both are named, in the order of their ids as text; other columns are
+carried past the scan under one name, so none can clash; an empty table of documents gives an empty result.
 """
 
 from __future__ import annotations
@@ -231,7 +233,7 @@ def _pass(items, number: str, window: int):
 
 
 def scan(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, text_column: str = "text", item_id: str = "item_id", item_text: str = "text", part_bytes: int = PART_BYTES) -> DataFrame:
-    """All columns of docs as one struct column doc, text, and n_words, hits (numbers of hit words), items, spans.
+    """The other columns of docs as one struct column doc, text, and n_words, hits (numbers of hit words), items, spans.
 
     Spans are byte offsets into the text's UTF-8, from a hit word's start to the stop of the last hit word after it.
     """
@@ -241,7 +243,7 @@ def scan(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, text_colum
     total = items.agg(F.coalesce(F.sum(F.octet_length("text") + 16), F.lit(0))).first()[0]
     parts = max(1, -(-int(total) // part_bytes))
     kind = "array<struct<start:int,stop:int>>"
-    rows = docs.select(F.struct(*(docs[c] for c in docs.columns)).alias("doc"), F.col(text_column).alias("text"), F.lit(0).cast("long").alias("n_words"), F.expr("cast(array() as array<int>)").alias("hits"), F.expr("cast(array() as array<string>)").alias("items"), F.expr(f"cast(array() as {kind})").alias("spans"))
+    rows = docs.select(F.struct(*([docs[c] for c in docs.columns if c != text_column] or [F.lit(True).alias("alone")])).alias("doc"), F.col(text_column).alias("text"), F.lit(0).cast("long").alias("n_words"), F.expr("cast(array() as array<int>)").alias("hits"), F.expr("cast(array() as array<string>)").alias("items"), F.expr(f"cast(array() as {kind})").alias("spans"))
     schema = T.StructType([T.StructField(f.name, f.dataType) for f in rows.schema])
     for k in range(parts):
         # Each part is about part_bytes: that bounds what is brought here and sent out at once.

@@ -5,7 +5,9 @@ bundles its n-grams' vectors; a language's prototype bundles its documents. Pred
 cosine. A batch's documents are bundled at once as (counts of n-grams) x (n-grams' vectors).
 
 Defined cases: null texts and texts without a letter are "und" with score 0; the score is the best cosine, negative
-ones as 0; equal cosines go to the first language in alphabetical order; with nothing to learn from all is "und".
+ones as 0; equal cosines go to the first language in alphabetical order; with nothing to learn from all is "und";
+repeated rows are judged alike; texts of any length are read whole, one at a time where they are long; columns but the
+text are carried past the model under one name, so none can clash; an empty table gives an empty result.
 """
 
 from __future__ import annotations

@@ -7,7 +7,8 @@ one, and how far the text compresses by itself are calibrated to a probability o
 Both samples are bounded (DICTIONARY_CHUNKS chunks of CHUNK bytes a class, FIT_ROWS rows); all texts are scored whole.
 
 Defined cases: null and empty texts have all features 0 and so a constant score; with no labelled rows, or labels of one
-class, the score is constant; repeated rows score alike.
+class, the score is constant; repeated rows, and so ties, score alike; texts of any length are scored whole, a chunk
+at a time; columns but the text and those carried are not read, so none can clash; an empty table gives an empty result.
 """
 
 from __future__ import annotations

@@ -14,7 +14,9 @@ that come of it are decided by the exact share of distinct shingles in common. W
 Its classes are texts of equal distinct shingles (shape, a digest of them), never of equal fingerprints alone.
 
 Defined cases: a null or wordless text has fingerprint zero; a text of fewer words than a shingle is one shingle;
-repeated rows have equal fingerprints and share a component; rows without an id get their fingerprint's component.
+repeated rows have equal fingerprints and share a component; rows without an id get their fingerprint's component; of a
+group the least id stands for it, so ties cannot arise; a text of any length is read whole; columns but the id and the
+text are not read, so none can clash; an empty table gives an empty result.
 """
 
 from __future__ import annotations
