@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import edge_key, pair_id
+from ..functions.text import edge_key, pair_id, vertex_key
 
 
 def make_edges(scored: DataFrame, method: str = "similarity", timestamp: str | None = None, extra: list[str] | None = None, bidirectional: bool = False) -> DataFrame:
@@ -99,3 +99,26 @@ def confidence_buckets(edges: DataFrame, width: float = 0.05) -> DataFrame:
 
 def canonical_pairs(edges: DataFrame) -> DataFrame:
     return edges.select(pair_id(F.col("src"), F.col("dst")).alias("pair_id"), "similarity", "confirmed")
+
+
+def scored_edges(edges: DataFrame, least: float | None = None) -> DataFrame:
+    """(pair_id, score, confirmed) of active edges that have a score, of least at least."""
+    own = edges.filter(~F.coalesce(F.col("suppressed"), F.lit(False)) & F.col("similarity").isNotNull())
+    if least is not None:
+        own = own.filter(F.col("similarity") >= least)
+    return own.select(pair_id(F.col("src"), F.col("dst")).alias("pair_id"), F.col("similarity").alias("score"), F.coalesce("confirmed", F.lit(False)).alias("confirmed"))
+
+
+def truth_pairs(rows: DataFrame) -> DataFrame:
+    """(pair_id) of known matches, whether they come as edges (_from, _to: ids with a collection) or as (id_a, id_b)."""
+    a, b = (("_from", "_to") if "_from" in rows.columns else ("id_a", "id_b"))
+    x, y = (vertex_key(F.col(c).cast("string")) for c in (a, b))
+    return rows.filter(F.col(a).isNotNull() & F.col(b).isNotNull()).select(pair_id(x, y).alias("pair_id")).distinct()
+
+
+def weighted_edges(edges: DataFrame, weight: str = "confidence", least: float | None = None) -> DataFrame:
+    """(src, dst, weight) of active edges: each pair once, by its greatest weight; without one it is 1."""
+    value = F.coalesce(F.col(weight).cast("double"), F.lit(1.0)) if weight in edges.columns else F.lit(1.0)
+    own = edges.filter(~F.coalesce(F.col("suppressed"), F.lit(False)) & (F.col("src") != F.col("dst"))).select(F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst"), value.alias("weight"))
+    found = own.groupBy("src", "dst").agg(F.max("weight").alias("weight"))
+    return found if least is None else found.filter(F.col("weight") >= least)

@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from . import clustering, pairs, profiling, records, scores
+from . import clustering, pairs, profiling, records, scores, upkeep
 from .registry import QUERIES, SQL, Query
 
-__all__ = ["clustering", "oracle_sql", "pairs", "profiling", "queries", "records", "scores"]
+__all__ = ["clustering", "oracle_sql", "pairs", "profiling", "queries", "records", "scores", "upkeep"]
 
 
 def queries() -> dict[str, Query]:
