@@ -16,7 +16,7 @@ from __future__ import annotations
 
 import uuid
 import zlib
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -51,32 +51,37 @@ def unpack(packed: bytes) -> pa.Array:
 
 
 def _split(folder: str, special: dict[bytes, int], buckets: int):
+    def one(fs, root: str, part: pa.RecordBatch) -> pa.RecordBatch:
+        found, first = cut.split(part.column("text"), special)
+        name = f"{uuid.uuid4().hex}.arrow"
+        distinct = found.dictionary
+        hashes = np.fromiter(map(zlib.crc32, distinct.to_pylist()), np.int64, len(distinct)) % buckets
+        # Codes follow the buckets, and the pieces' order within one: so a bucket's pieces need no places, and
+        # neighbours begin alike, which the compression likes.
+        sorted_ = pc.array_sort_indices(distinct).to_numpy()
+        order = sorted_[np.argsort(hashes[sorted_], kind="stable")]
+        rank = np.empty(len(order), np.int32)
+        rank[order] = np.arange(len(order), dtype=np.int32)
+        codes = pa.ListArray.from_arrays(pa.array(first, pa.int32()), pa.array(rank[found.indices.to_numpy()]))
+        table = pa.table({"id": part.column("id"), "codes": codes})
+        with fs.open_output_stream(f"{root}/{name}") as sink, pa.ipc.new_stream(sink, table.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as writer:
+            writer.write_table(table)
+        used, start = np.unique(hashes[order], return_index=True)
+        ordered = distinct.take(pa.array(order))
+        stop = np.append(start[1:], len(order)) if len(used) else []
+        packed = [pack(ordered.slice(a, b - a)) for a, b in zip(start, stop, strict=True)] or [pack(ordered)]
+        return pa.RecordBatch.from_arrays(
+            [pa.array([name] * len(packed)), pa.array(used if len(used) else [0], pa.int32()), pa.array(packed, pa.binary())],
+            ["block", "bucket", "pieces"],
+        )
+
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fs, root = filesystem(folder)
         fs.create_dir(root, recursive=True)
         for part in blocks(batches, "text", BLOCK_BYTES):
-            found, first = cut.split(part.column("text"), special)
-            name = f"{uuid.uuid4().hex}.arrow"
-            distinct = found.dictionary
-            hashes = np.fromiter(map(zlib.crc32, distinct.to_pylist()), np.int64, len(distinct)) % buckets
-            # Codes follow the buckets, and the pieces' order within one: so a bucket's pieces need no places, and
-            # neighbours begin alike, which the compression likes.
-            sorted_ = pc.array_sort_indices(distinct).to_numpy()
-            order = sorted_[np.argsort(hashes[sorted_], kind="stable")]
-            rank = np.empty(len(order), np.int32)
-            rank[order] = np.arange(len(order), dtype=np.int32)
-            codes = pa.ListArray.from_arrays(pa.array(first, pa.int32()), pa.array(rank[found.indices.to_numpy()]))
-            table = pa.table({"id": part.column("id"), "codes": codes})
-            with fs.open_output_stream(f"{root}/{name}") as sink, pa.ipc.new_stream(sink, table.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as writer:
-                writer.write_table(table)
-            used, start = np.unique(hashes[order], return_index=True)
-            ordered = distinct.take(pa.array(order))
-            stop = np.append(start[1:], len(order)) if len(used) else []
-            packed = [pack(ordered.slice(a, b - a)) for a, b in zip(start, stop, strict=True)] or [pack(ordered)]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([name] * len(packed)), pa.array(used if len(used) else [0], pa.int32()), pa.array(packed, pa.binary())],
-                ["block", "bucket", "pieces"],
-            )
+            # All that a block needed is gone when the next one is gathered.
+            yield one(fs, root, part)
+            del part
 
     return run
 
@@ -134,8 +139,8 @@ def _assemble(folder: str):
     return run
 
 
-def encode(docs: DataFrame, tokenizer: str, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
-    """(id_column, ids array<int>) for every row of docs; ids as the tokenizers library gives them."""
+def _put_back(docs: DataFrame, tokenizer: str, id_column: str, text_column: str, then: Callable, more: list[T.StructField]) -> DataFrame:
+    """(id_column, ids, more) for every row of docs: then() is given (id, ids) in the worker that puts a block together."""
     spark = docs.sparkSession
     prepare(spark)
     folder = f"{shared_folder(spark)}/codes"
@@ -143,9 +148,21 @@ def encode(docs: DataFrame, tokenizer: str, id_column: str = "doc_id", text_colu
     rows = docs.select(F.col(id_column).alias("id"), F.col(text_column).alias("text"))
     words = keep(rows.mapInArrow(_split(folder, cut.encoder(tokenizer, None).special, min(n, MOST_BUCKETS)), "block string, bucket int, pieces binary"), "words")
     encoded = words.repartition(n, "bucket").sortWithinPartitions("bucket").mapInArrow(_encode(tokenizer), "block string, bucket int, ids binary")
-    schema = T.StructType([T.StructField("id", rows.schema["id"].dataType), T.StructField("ids", T.ArrayType(T.IntegerType()))])
-    out = encoded.repartition(n, "block").sortWithinPartitions("block", "bucket").mapInArrow(_assemble(folder), schema)
-    return out.select(F.col("id").alias(id_column), "ids")
+    schema = T.StructType([T.StructField("id", rows.schema["id"].dataType), T.StructField("ids", T.ArrayType(T.IntegerType())), *more])
+    assemble = _assemble(folder)
+    out = encoded.repartition(n, "block").sortWithinPartitions("block", "bucket").mapInArrow(lambda batches: then(assemble(batches)), schema)
+    return out.withColumnRenamed("id", id_column)
+
+
+def encode(docs: DataFrame, tokenizer: str, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
+    """(id_column, ids array<int>) for every row of docs; ids as the tokenizers library gives them."""
+    return _put_back(docs, tokenizer, id_column, text_column, lambda batches: batches, [])
+
+
+def round_trip(docs: DataFrame, tokenizer: str, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
+    """decode(encode(docs)) with one Python worker a task: of two, each would hold the libraries and its own buffers."""
+    pieces = docs.sparkSession.sparkContext.broadcast(pack(pa.array(vocabulary(tokenizer), pa.binary())))
+    return _put_back(docs, tokenizer, id_column, text_column, _decode(pieces), [T.StructField("decoded", T.StringType())])
 
 
 def vocabulary(tokenizer: str) -> list[bytes]:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import io
 import random
+import tracemalloc
 
 import numpy as np
 import pyarrow as pa
@@ -76,6 +77,32 @@ def test_classes_are_those_of_the_library(path):
             assert min(table_[c], pieces.SPACE) == kind, hex(c)
 
 
+def test_parts_of_a_batch_give_its_pieces(path, monkeypatch):
+    special = pieces.Encoder(path, 1000).special
+    random.seed(9)
+    texts = [random.choice([None, "", "", "a", " it's\u00a0né  \n", "  ", "'ll", "<|endoftext|>x<|endoftext|>", "漢字 12 ", "😀 over a part's end"]) for _ in range(3000)]
+    for given in (texts, ["", None], ["", "a", ""], [LONG, "", LONG]):
+        array = pa.array([None, *given], pa.string()).slice(1)
+        monkeypatch.setattr(pieces, "PART_BYTES", 1 << 40)
+        whole, at = pieces.split(array, special)
+        for size in (1, 13, 400):
+            monkeypatch.setattr(pieces, "PART_BYTES", size)
+            found, first = pieces.split(array, special)
+            assert found.cast(pa.binary()).equals(whole.cast(pa.binary())) and first.tolist() == at.tolist()
+
+
+def test_cutting_needs_arrays_for_a_part_of_the_batch_only():
+    array = pa.array([LONG] * 10)
+    pieces.split(array.slice(0, 1))
+    tracemalloc.start()
+    try:
+        pieces.split(array)
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert peak < 5 * 10 * len(LONG.encode())
+
+
 def test_each_piece_is_encoded_once(spark, path, monkeypatch):
     """Blocks that share their pieces: the tasks of the buckets encode the table's distinct pieces, each once."""
     folder = f"{shared_folder(spark)}/codes"
@@ -405,6 +432,18 @@ def test_what_each_stage_decides(spark, docs, sf_dir):
     assert 6 not in left and 5 in left
 
 
+def test_encoding_has_one_python_worker_a_task(spark, docs, none, path, sf_dir):
+    """Two Python steps of one stage would be two workers, which stay with the executor after it."""
+    stage = corpus_pipeline.encoding(spark, docs, sf_dir)
+    plan = [line for line in stage._jdf.queryExecution().executedPlan().toString().splitlines() if "MapInArrow" in line or "Exchange" in line]
+    assert all("Exchange" in below for line, below in zip(plan, plan[1:], strict=False) if "MapInArrow" in line), plan
+    two = bpe.decode(bpe.encode(docs, path), path)
+    one = bpe.round_trip(docs, path)
+    assert one.schema == two.schema
+    assert sorted(map(tuple, one.collect()), key=str) == sorted(map(tuple, two.collect()), key=str)
+    assert count(bpe.round_trip(none, path)) == 0
+
+
 def test_whole_run(spark, sf_dir):
     found = corpus_pipeline.run(spark, sf_dir)
     assert found.columns == ["doc_id", "n_tokens", "ids", "decoded_sha256"]
