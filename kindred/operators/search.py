@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .blocking import chunks, tasks
 from .filters import apply_filters
+from .tables import keep
 
 K1, B = 1.2, 0.75
 
@@ -51,31 +55,93 @@ def pair_scores(pairs: DataFrame, queries: DataFrame, index: DataFrame) -> DataF
     return wanted.join(frequency, "token").join(F.broadcast(totals)).groupBy("doc1_key", "doc2_key").agg(F.round(F.sum(part), 4).alias("bm25"))
 
 
+def _classes(docs: DataFrame, text: str, key: str, block: str | None, values: dict[str, Column]) -> tuple[DataFrame, DataFrame]:
+    """Classes (c, g, phrase, n, values) of rows of equal block, tokens and values, kept, and their members (c, k)."""
+    tokens = F.filter(F.split(F.lower(F.coalesce(text, F.lit(""))), r"[^a-z0-9_]+"), lambda w: w != "")
+    blocked = F.col(block).cast("string") if block else F.lit(None).cast("string")
+    rows = docs.select(F.col(key).alias("k"), blocked.alias("g"), F.array_join(tokens, " ").alias("phrase"), *(c.alias(v) for v, c in values.items()))
+    # Numbers of rows that are written do not change.
+    numbered = rows.groupBy("g", "phrase", *values).agg(F.count("*").alias("n")).withColumn("c", F.monotonically_increasing_id())
+    classes = keep(numbered, "classes")
+    same = reduce(lambda x, y: x & y, (F.col(f"a.{c}").eqNullSafe(F.col(f"b.{c}")) for c in ("g", "phrase", *values)))
+    return classes, rows.alias("a").join(classes.alias("b"), same).select(F.col("b.c").alias("c"), F.col("a.k").alias("k"))
+
+
+def _phrase_scores(classes: DataFrame, threshold: float) -> DataFrame:
+    """(c1, c2, bm25) of classes of equal g of which c2's phrase has all of c1's within it; a class is within itself.
+
+    A phrase's rarest token is the join's key, with the block: whatever contains the phrase contains that token, and few do.
+    """
+    words = classes.filter("phrase != ''").select("c", "g", "n", F.split("phrase", " ").alias("w"))
+    index = words.select("c", "g", "n", F.size("w").alias("size"), F.explode("w").alias("token")).groupBy("c", "g", "n", "size", "token").agg(F.count("*").alias("tf"))
+    frequency = index.groupBy("token").agg(F.sum("n").alias("df"))
+    # One row of totals.
+    totals = words.agg(F.sum("n").alias("docs"), (F.sum(F.col("n") * F.size("w")) / F.sum("n")).alias("mean_size"))
+    weighed = keep(index.join(frequency, "token"), "index")
+    rarest = weighed.groupBy("c", "g", "size").agg(F.min_by("token", F.struct("df", "token")).alias("token"))
+    left = rarest.select(F.col("c").alias("c1"), F.col("size").alias("n1"), "g", "token").alias("x")
+    right = weighed.select(F.col("c").alias("c2"), F.col("size").alias("n2"), "g", "token").alias("y")
+    met = left.join(right, (F.col("x.token") == F.col("y.token")) & F.col("x.g").eqNullSafe(F.col("y.g")) & (F.col("n1") <= F.col("n2"))).select("c1", "c2")
+    shown = classes.select("c", F.concat(F.lit(" "), "phrase", F.lit(" ")).alias("p"))
+    pairs = met.join(shown.withColumnsRenamed({"c": "c1", "p": "p1"}), "c1").join(shown.withColumnsRenamed({"c": "c2", "p": "p2"}), "c2").filter(F.contains("p2", F.col("p1"))).select("c1", "c2")
+    idf = F.log(1 + (F.col("docs") - F.col("df") + 0.5) / (F.col("df") + 0.5))
+    part = idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("size") / F.col("mean_size")))
+    asked = pairs.join(weighed.select(F.col("c").alias("c1"), "token"), "c1")
+    found = asked.join(weighed.select(F.col("c").alias("c2"), "token", "tf", "size", "df"), ["c2", "token"]).join(F.broadcast(totals))
+    return found.groupBy("c1", "c2").agg(F.round(F.sum(part), 4).alias("bm25")).filter(F.col("bm25") > threshold)
+
+
+def _later(members: DataFrame, scored: DataFrame, by: str, limit: int) -> DataFrame:
+    """(doc1_key, doc2_key, columns of scored): of (c1, c2, by, ...) each member of c1 with the members of greater key of
+    its c2s, the limit of greatest by and, of equals, of least keys.
+
+    Members are numbered within (c1, by), a level, and gathered by the thousand in order. A row counts how many of a level
+    come before it and takes the next from there, so what is shuffled are rows times levels, not pairs.
+    """
+    line_ = max(LINE, limit)
+    rest = [c for c in scored.columns if c not in ("c1", "c2")]
+    level = Window.partitionBy("c1", by)
+    there = scored.join(members.select(F.col("c").alias("c2"), "k"), "c2").select("c1", "k", by, F.struct(F.col("k").alias("doc2_key"), *rest).alias("x"))
+    # A document is in one class, so once in a level.
+    wanted = scored.select("c1", by).distinct().join(members.select(F.col("c").alias("c1"), "k"), "c1")
+    lined = there.select("c1", by, "k", F.lit(1).alias("t"), F.lit(0).alias("s")).unionByName(wanted.select("c1", by, "k", F.lit(0).alias("t"), F.lit(1).alias("s")))
+    once = lined.groupBy("c1", by, "k").agg(F.sum("t").alias("t"), F.sum("s").alias("s"))
+    seen = once.withColumn("done", F.sum("t").over(level.orderBy("k").rowsBetween(Window.unboundedPreceding, 0))).withColumn("left", F.sum("t").over(level) - F.col("done"))
+    better = Window.partitionBy("c1", "k").orderBy(F.desc(by)).rowsBetween(Window.unboundedPreceding, -1)
+    open_ = seen.filter("s > 0 and left > 0").withColumn("before", F.coalesce(F.sum("left").over(better), F.lit(0))).filter(F.col("before") < limit)
+    asked = open_.select("c1", by, F.col("k").alias("doc1_key"), "done", F.least(F.col("left"), limit - F.col("before")).cast("int").alias("take"), F.floor(F.col("done") / line_).alias("line"))
+    placed = there.withColumn("at", F.row_number().over(level.orderBy("k")).cast("long") - 1)
+    # The first of a line end the one before, too, for those that take across its end.
+    overlap = F.when((F.col("at") >= line_) & (F.col("at") % line_ < limit), F.array(F.floor(F.col("at") / line_), F.floor(F.col("at") / line_) - 1)).otherwise(F.array(F.floor(F.col("at") / line_)))
+    lines = placed.select("c1", by, "at", "x", F.explode(overlap).alias("line")).groupBy("c1", by, "line").agg(F.array_sort(F.collect_list(F.struct("at", "x"))).alias("xs"))
+    next_ = F.slice("xs", (F.col("done") - F.col("line") * line_ + 1).cast("int"), F.col("take"))
+    return asked.join(lines, ["c1", by, "line"]).select("doc1_key", F.explode(next_).alias("y")).select("doc1_key", "y.x.*")
+
+
+#: Places of a level that are gathered in one array.
+LINE = 1000
+
+
+def _all_later(members: DataFrame, scored: DataFrame) -> DataFrame:
+    """(doc1_key, doc2_key, columns of scored): all pairs of members, the greater key in c2."""
+    rest = [c for c in scored.columns if c not in ("c1", "c2")]
+    counted = members.join(members.groupBy("c").agg(F.count("*").alias("n")), "c")
+    many = chunks(counted, ["c"], "k", "n").select("c", "chunk", "rows")
+    cells = scored.join(many.withColumnsRenamed({"c": "c1", "chunk": "i", "rows": "a"}), "c1").join(many.withColumnsRenamed({"c": "c2", "chunk": "j", "rows": "b"}), "c2")
+    dealt = cells.repartition(tasks(members.sparkSession), "c1", "c2", "i", "j")
+    both = dealt.withColumn("doc1_key", F.explode("a")).drop("a").withColumn("doc2_key", F.explode("b"))
+    return both.filter("doc1_key < doc2_key").select("doc1_key", "doc2_key", *rest)
+
+
 def phrase_pairs(docs: DataFrame, text: str, key: str, threshold: float = 2.0, limit: int | None = 20, block: str | None = None, filters: dict[str, dict] | None = None) -> DataFrame:
     """(doc1_key, doc2_key, bm25): doc2's text contains all of doc1's as a phrase, doc1's key is the lesser one.
 
-    A phrase's rarest token is the join's key: whatever contains the phrase contains that token, and few documents do.
-    Keys, lengths and block values meet there; texts come to the pairs that are left. Filters hold for both sides; a
-    least length is exclusive here.
+    Documents of equal block and tokens are one class: classes are compared and scored, documents take their best from
+    the classes' members. Filters hold for both sides; a least length is exclusive here.
     """
-    docs = apply_filters(docs, filters or {}, strict_length=True)
-    cleaned = F.concat(F.lit(" "), F.array_join(F.filter(F.split(F.lower(F.coalesce(text, F.lit(""))), r"[^a-z0-9_]+"), lambda w: w != ""), " "), F.lit(" "))
-    blocked = F.col(block).cast("string") if block else F.lit(None).cast("string")
-    index = postings(docs, text, key)
-    frequency = index.groupBy("token").agg(F.count("*").alias("df"))
-    rarest = index.join(frequency, "token").groupBy("k").agg(F.min_by("token", F.struct("df", "token")).alias("token"), F.first("size").alias("size"))
-    groups = docs.select(F.col(key).alias("k"), blocked.alias("g"))
-    of = (lambda rows: rows.join(groups, "k")) if block else (lambda rows: rows.withColumn("g", F.lit(None).cast("string")))
-    left = of(rarest).select(F.col("k").alias("doc1_key"), F.col("size").alias("n1"), F.col("g").alias("g1"), "token")
-    right = of(index.join(rarest.select("token").distinct(), "token", "left_semi")).select(F.col("k").alias("doc2_key"), F.col("size").alias("n2"), F.col("g").alias("g2"), "token")
-    met = left.join(right, "token").filter((F.col("doc1_key") < F.col("doc2_key")) & (F.col("n1") <= F.col("n2")) & F.col("g1").eqNullSafe(F.col("g2"))).select("doc1_key", "doc2_key")
-    x, y = (docs.select(F.col(key).alias(f"doc{i}_key"), cleaned.alias(f"p{i}")) for i in (1, 2))
-    pairs = met.join(x, "doc1_key").join(y, "doc2_key").filter(F.contains("p2", F.col("p1"))).select("doc1_key", "doc2_key")
-    scored = pair_scores(pairs, index, index).filter(F.col("bm25") > threshold)
-    if limit is None:
-        return scored
-    w = Window.partitionBy("doc1_key").orderBy(F.desc("bm25"), "doc2_key")
-    return scored.withColumn("_r", F.row_number().over(w)).filter(F.col("_r") <= limit).drop("_r")
+    classes, members = _classes(apply_filters(docs, filters or {}, strict_length=True), text, key, block, {})
+    scored = _phrase_scores(classes, threshold)
+    return _all_later(members, scored) if limit is None else _later(members, keep(scored, "scored"), "bm25", limit)
 
 
 def hybrid_pairs(docs: DataFrame, fields: dict[str, float], key: str, levenshtein_threshold: float = 0.85, bm25_threshold: float = 2.0, bm25_weight: float = 0.2, limit: int = 20, block: str | None = None, filters: dict[str, dict] | None = None) -> DataFrame:
@@ -83,15 +149,13 @@ def hybrid_pairs(docs: DataFrame, fields: dict[str, float], key: str, levenshtei
     from ..functions.text import levenshtein_similarity
 
     first = next(iter(fields))
-    pairs = phrase_pairs(docs, first, key, bm25_threshold, None, block, filters)
-    shown = {f: F.upper(F.trim(F.coalesce(F.col(f).cast("string"), F.lit("")))) for f in fields}
-    a = docs.select(F.col(key).alias("doc1_key"), *(c.alias(f"a_{f}") for f, c in shown.items()))
-    b = docs.select(F.col(key).alias("doc2_key"), *(c.alias(f"b_{f}") for f, c in shown.items()))
+    shown = {f"v{i}": F.upper(F.trim(F.coalesce(F.col(f).cast("string"), F.lit("")))) for i, f in enumerate(fields)}
+    classes, members = _classes(apply_filters(docs, filters or {}, strict_length=True), first, key, block, shown)
     total = sum(fields.values())
     score = F.lit(0.0)
-    for f, w in fields.items():
-        score = score + levenshtein_similarity(F.col(f"a_{f}"), F.col(f"b_{f}"), 0.0) * (w / total)
-    scored = pairs.join(a, "doc1_key").join(b, "doc2_key").select("doc1_key", "doc2_key", "bm25", F.round(score, 4).alias("levenshtein_score")).filter(F.col("levenshtein_score") >= levenshtein_threshold)
+    for v, w in zip(shown, fields.values(), strict=True):
+        score = score + levenshtein_similarity(F.col(f"a_{v}"), F.col(f"b_{v}"), 0.0) * (w / total)
+    a, b = (classes.select(F.col("c").alias(c), *(F.col(v).alias(f"{side}_{v}") for v in shown)) for side, c in (("a", "c1"), ("b", "c2")))
+    scored = _phrase_scores(classes, bm25_threshold).join(a, "c1").join(b, "c2").select("c1", "c2", "bm25", F.round(score, 4).alias("levenshtein_score")).filter(F.col("levenshtein_score") >= levenshtein_threshold)
     combined = F.round(F.col("bm25") * bm25_weight + F.col("levenshtein_score") * (1 - bm25_weight), 4)
-    w = Window.partitionBy("doc1_key").orderBy(F.desc("combined_score"), "doc2_key")
-    return scored.withColumn("combined_score", combined).withColumn("_r", F.row_number().over(w)).filter(F.col("_r") <= limit).drop("_r")
+    return _later(members, keep(scored.withColumn("combined_score", combined), "scored"), "combined_score", limit)

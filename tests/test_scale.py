@@ -162,3 +162,21 @@ def test_r03_f23_f24_f25_f26_f30_true_pairs_are_counted_not_made(spark, sf_dir,
     tally = score_queries._tally(spark, folder)
     assert tally.count() == 1 and tally.first()["n"] == sum(143 * 142 // 2 for _ in range(7))
     assert not shuffles_pairs(score_queries._labelled(spark, sf_dir))
+
+
+def test_r03_f20_f21_f27_documents_take_their_best_from_classes(spark, monkeypatch):
+    """Several levels a document, lines of five places, ties by key: the best three are those of all pairs."""
+    monkeypatch.setattr(search, "LINE", 5)
+    texts = ["red", "red bolt", "Red  bolt!", "bolt red bolt", "old red bolt", "red tin", None, "!"]
+    docs = spark.createDataFrame([(i * 7 % 101, texts[i * i % 8 if i < 60 else i % 8], f"b{i % 2}") for i in range(101)], "k long, t string, g string")
+    every = search.phrase_pairs(docs, "t", "k", -10.0, None, "g").collect()
+    rows = {r["k"]: (" " + " ".join(re.findall("[a-z]+", (r["t"] or "").lower())) + " ", r["g"]) for r in docs.collect()}
+    wanted = {(a, b) for a in rows for b in rows if a < b and rows[a][1] == rows[b][1] and rows[a][0].strip() and rows[a][0] in rows[b][0]}
+    assert {(r[0], r[1]) for r in every} == wanted and len(every) == len(wanted)
+    best = {}
+    for r in sorted(every, key=lambda r: (-r["bm25"], r["doc2_key"])):
+        best.setdefault(r["doc1_key"], []).append((r["doc2_key"], r["bm25"]))
+    got = {}
+    for r in search.phrase_pairs(docs, "t", "k", -10.0, 3, "g").collect():
+        got.setdefault(r["doc1_key"], set()).add((r["doc2_key"], r["bm25"]))
+    assert got == {k: set(v[:3]) for k, v in best.items()} and max(len({s for _, s in v}) for v in got.values()) > 1
