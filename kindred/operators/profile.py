@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from .blocking import tasks
+
 #: Words for streets, long and short.
 _STREETS = tuple(w for pair in ("road rd", "lane ln", "drive dr", "court ct", "place pl", "street st", "avenue ave", "boulevard blvd", "way") for w in pair.split())
 #: What the values of a semantic type look like.
@@ -63,10 +65,20 @@ def pairwise_signals(docs: DataFrame, first: str, second: str) -> DataFrame:
 
 
 def type_shares(docs: DataFrame, columns: list[str]) -> DataFrame:
-    """(field, n, cardinality, avg_tokens, avg_length, f_<pattern>...) over values that are not blank."""
+    """(field, n, cardinality, avg_tokens, avg_length, f_<pattern>...) over values that are not blank.
+
+    A value's copies are counted first and looked at once. Rows are dealt by field and value to parts of each field's
+    range of hashes, so a task holds the distinct values of its part alone; what goes on from there are sums.
+    """
     v = unpivot(docs, columns).select("field", F.trim("value").alias("v")).filter("v != ''")
-    shares = [F.round(F.avg(F.col("v").rlike(p).cast("int")), 4).alias(f"f_{k}") for k, p in PATTERNS.items()]
-    return v.groupBy("field").agg(F.count("*").alias("n"), F.round(F.countDistinct("v") / F.count("*"), 4).alias("cardinality"), F.round(F.avg(F.size(F.split("v", r"\s+"))), 4).alias("avg_tokens"), F.round(F.avg(F.length("v")), 4).alias("avg_length"), *shares)
+    many = tasks(docs.sparkSession)
+    counted = v.repartition(many, "field", "v").groupBy("field", "v").agg(F.count("*").alias("n"))
+    n = F.col("n")
+    total = lambda x, name: F.sum(n * x).alias(name)
+    sums = [total(F.col("v").rlike(p).cast("int"), f"f_{k}") for k, p in PATTERNS.items()]
+    found = counted.groupBy("field").agg(F.sum("n").alias("n"), F.count("*").alias("kinds"), total(F.size(F.split("v", r"\s+")), "tokens"), total(F.length("v"), "chars"), *sums)
+    mean = lambda x, name: F.round(F.col(x) / n, 4).alias(name)
+    return found.select("field", "n", mean("kinds", "cardinality"), mean("tokens", "avg_tokens"), mean("chars", "avg_length"), *(mean(f"f_{k}", f"f_{k}") for k in PATTERNS))
 
 
 def semantic_type(shares: DataFrame) -> DataFrame:
