@@ -7,7 +7,7 @@ import re
 import numpy as np
 from pyspark.sql import functions as F
 
-from kindred.operators import blocking, profile, relations, scoring, search, vectors
+from kindred.operators import blocking, components, profile, relations, scoring, search, vectors
 from kindred.queries import oracle_sql, queries
 from kindred.queries import pairs as pair_queries
 from kindred.queries import scores as score_queries
@@ -213,3 +213,29 @@ def test_r03_f28_a_task_holds_a_part_of_the_values(spark):
 
 def test_r03_f29_chains_are_not_broadcast(spark, sf_dir):
     assert "Broadcast" not in plan(queries()["mapping_cycles"](spark, sf_dir))
+
+
+def test_r03_f22_ranges_are_contracted_first(spark, monkeypatch):
+    """A chain over all ranges, a hub in each of them, loops, near and far links: the roots are those of union-find, and the
+    rounds get fewer links than there are."""
+    monkeypatch.setattr(components, "CONTRACT", 40)
+    monkeypatch.setattr(components, "PART", 60)
+    rng = np.random.default_rng(2)
+    given, rounds = [], components._by_rounds
+    monkeypatch.setattr(components, "_by_rounds", lambda stars, *rest: given.append(stars.count()) or rounds(stars, *rest))
+    near = [(i, i + 1) for i in range(400) if i % 90] + [(7, 40 * i + 3) for i in range(8)] + [(5000, 5000), (3, 3)] + [(6000 + i, 6000 + i // 2) for i in range(1, 200)]
+    far = [(int(a), int(b)) for a, b in rng.integers(0, 900, (500, 2))]
+    for links in (near, far):
+        root = {x: x for pair in links for x in pair}
+
+        def find(x, root=root):
+            while root[x] != x:
+                x = root[x]
+            return x
+
+        for a, b in links:
+            a, b = find(a), find(b)
+            root[max(a, b)] = min(a, b)
+        found = components.components(spark.createDataFrame(links, "src long, dst long"), local_links=0)
+        assert sorted(map(tuple, found.collect())) == sorted((x, find(x)) for x in root)
+    assert given[0] < len(near) // 4 and len(given) == 2
